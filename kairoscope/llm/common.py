@@ -39,10 +39,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, checkpointed: lineage ends here and a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as a Parquet table in the shared folder and read again.
+
+    Lineage ends here: a lost executor costs no recomputation of what came before, and later steps read only the columns they need. Void columns are kept as strings.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairoscope.llm import quality
+from kairoscope.llm import quality, simhash
 from kairoscope.llm.common import table
 
 
@@ -14,5 +14,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents")).drop("n_stop_words", "n_lines")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_quality_rules": op7_quality_rules}
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op7_quality_rules": op7_quality_rules,
+}
 ORACLE: dict[str, str] = {"op7_quality_rules": quality.oracle_sql()}
