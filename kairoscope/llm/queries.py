@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairoscope.llm import language_id, lm_scoring, quality, simhash
+from kairoscope.llm import language_id, lm_scoring, mixing, packing, quality, simhash
 from kairoscope.llm.common import table
 
 
@@ -27,10 +27,20 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.decide(table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
-ORACLE: dict[str, str] = {"op7_quality_rules": quality.oracle_sql()}
+ORACLE: dict[str, str] = {"op6_mixing": mixing.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
