@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairoscope.llm import language_id, lm_scoring, mixing, packing, quality, simhash
+from kairoscope.llm import language_id, lm_scoring, mixing, packing, quality, simhash, warc
 from kairoscope.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.round_trip(table(spark, sf_dir, "pages"), keep_payload=False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
@@ -42,5 +46,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_warc": op10_warc,
 }
 ORACLE: dict[str, str] = {"op6_mixing": mixing.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
