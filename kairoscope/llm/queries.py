@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kairoscope.llm import language_id, lm_scoring, mixing, packing, quality, simhash, warc
+from kairoscope.llm import language_id, lm_scoring, mixing, packing, quality, simhash, topk, warc
 from kairoscope.llm.common import table
 
 
@@ -39,13 +40,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.round_trip(table(spark, sf_dir, "pages"), keep_payload=False))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_top_k": op5_top_k,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_warc": op10_warc,
 }
-ORACLE: dict[str, str] = {"op6_mixing": mixing.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
+ORACLE: dict[str, str] = {
+    "op5_top_k": topk.oracle_sql(),
+    "op6_mixing": mixing.oracle_sql(),
+    "op7_quality_rules": quality.oracle_sql(),
+}
