@@ -68,6 +68,11 @@ def n_words_of(text: Column) -> Column:
     return let(parts, lambda p: F.size(p) - F.when(F.element_at(p, 1) == "", 1).otherwise(0) - F.when((F.size(p) > 1) & (F.element_at(p, -1) == ""), 1).otherwise(0)).cast("long")
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows with the same doc_id apart; null texts hash like empty ones."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def unused(name: str, taken: Iterable[str]) -> str:
     """name, lengthened until no column has it."""
     low = {c.lower() for c in taken}

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairoscope.llm.common import stored
+from kairoscope.llm.common import stored, text_hash, unused
 from kairoscope.llm.components import components
 
 RADIUS = 3
@@ -65,13 +65,13 @@ def fingerprint(text: bytes | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["doc_id", "h", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) for each document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, h (the text's hash) and fp (the fingerprint's bits as a long) for each document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), text_hash(F.col("text")).alias("h"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, h long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -111,14 +111,28 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable by links) for each document."""
+    """doc_id, h, fp, root and component_id (the smallest doc_id reachable by links) for each document."""
     prints = stored(fingerprints(docs), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     linked = stored(components(links(distinct.select("fp"))), "linked")
     rooted = stored(distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     named = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "named")
-    labels = stored(rooted.join(named, "root").select("fp", "component_id"), "labels")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = stored(rooted.join(named, "root").select("fp", "root", "component_id"), "labels")
+    return prints.join(labels, "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with the columns it came with.
+
+    Rows that share that doc_id are told apart by their texts' hashes, of which the smallest stays; of equal rows one.
+    """
+    found = near_duplicates(docs)
+    best = stored(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("best")).select("best.doc_id", "best.h"), "kept")
+    kept = best.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"))
+    h, n = unused("simhash_h", docs.columns), unused("simhash_n", docs.columns)
+    hashed = docs.withColumn(h, text_hash(F.col("text")))
+    own = hashed.join(kept, hashed[h].eqNullSafe(kept["kept_h"]) & hashed["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    return own.withColumn(n, F.row_number().over(Window.partitionBy(h, "doc_id").orderBy(h))).filter(F.col(n) == 1).drop(h, n)
 
 
 def digest(found: DataFrame) -> DataFrame:
