@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairoscope.llm import language_id, line_dedup, lm_scoring, mixing, packing, quality, simhash, topk, warc
+from kairoscope.llm import language_id, license_scan, line_dedup, lm_scoring, mixing, packing, quality, simhash, topk, warc
 from kairoscope.llm.common import table
 
 
@@ -48,10 +48,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_top_k": op5_top_k,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
