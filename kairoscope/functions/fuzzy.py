@@ -28,7 +28,7 @@ def common_subsequence(a: str, b: str) -> int:
 def similarity(a: str | None, b: str | None) -> float:
     if a is None or b is None:
         return 0.0
-    if not a and not b:
+    if a == b:
         return 100.0
     return 200.0 * common_subsequence(a, b) / (len(a) + len(b))
 
@@ -53,14 +53,27 @@ def may_reach(a: Column, b: Column, least: float) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= most)
 
 
-def alike(a: Column, b: Column, least: float = 80.0) -> Column:
-    """Token-sort similarity of at least `least`, with the bound tested first."""
+def possible(a: Column, b: Column, least: float = 80.0) -> Column:
+    """Whether two texts may be alike, in the JVM: filter by this first, as Spark evaluates a Python function of a filter or
+    of a branch for every row that reaches it."""
     x, y = sorted_tokens(a), sorted_tokens(b)
-    return F.when(may_reach(x, y, least), ratio(x, y) >= least).otherwise(False)
+    return (x == y) | may_reach(x, y, least)
+
+
+def alike(a: Column, b: Column, least: float = 80.0) -> Column:
+    """Token-sort similarity of at least `least`."""
+    return token_sort_ratio(a, b) >= least
+
+
+def _inside(a: Column, b: Column) -> Column:
+    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    return (shorter >= 6) & (F.contains(a, b) | F.contains(b, a)) & (shorter >= 0.6 * longer)
+
+
+def possibly_same_entity(a: Column, b: Column) -> Column:
+    return (a != "") & (b != "") & ((a == b) | _inside(a, b) | possible(a, b))
 
 
 def same_entity(a: Column, b: Column) -> Column:
     """Two normalised names: equal, one a substantial part of the other, or alike."""
-    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    inside = (shorter >= 6) & (F.contains(a, b) | F.contains(b, a)) & (shorter >= 0.6 * longer)
-    return F.when((a == "") | (b == ""), False).when((a == b) | inside, True).otherwise(alike(a, b))
+    return (a != "") & (b != "") & ((a == b) | _inside(a, b) | alike(a, b))

@@ -1,12 +1,14 @@
 """Agreement between extractors and merging across sources: blocked fuzzy joins, distributed components, argmax merges.
 
-Blocks keep the join small: triples are compared within (document, relation), edges within (profile, relation). Rows that
-are equal after normalisation meet by an equi-join on a star around the first of them, and only distinct names go through
-the fuzzy comparison, whose bound is tested in the JVM first.
+Blocks keep the joins small: triples are compared within (document, relation), edges within (profile, relation). Rows with
+equal names are one variant, and only variants are compared, so a claim that many rows make word for word costs no pairs.
+The fuzzy comparison follows a bound that the JVM tests.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,16 +26,31 @@ def clustered(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.join(roots, rows["ord"] == roots["node"], "left").withColumn("cluster", F.coalesce("root", "ord")).drop("node", "root")
 
 
-def agreeing_pairs(triples: DataFrame, *block: str) -> DataFrame:
-    """Pairs of ords of triples of different models in one block whose names match."""
-    named = triples.withColumns({"s": text.entity_name(F.col("subject")), "o": text.entity_name(F.col("object")), "r": text.canonical_relation(F.col("relation"))})
-    named = named.select(*block, "ord", "extraction_model", "s", "o", "r")
-    a, b = named.alias("a"), named.alias("b")
-    within = F.lit(True)
-    for c in (*block, "r"):
+def clusters(rows: DataFrame, block: list[str], possible: Callable, same: Callable) -> DataFrame:
+    """(ord, cluster) of rows (block, s, o, tag, ord): rows of one block link if their tags differ and both names are the same.
+
+    All rows of a variant (equal names) link as soon as it has two tags, or links to another variant: then each of its rows
+    has a partner with another tag. So variants are the nodes, and a variant of one tag that links to none leaves its rows
+    apart.
+    """
+    variants = stored(rows.groupBy(*block, "s", "o").agg(F.min("ord").alias("rep"), F.min("tag").alias("low"), F.max("tag").alias("high")), "variants")
+    a, b = variants.alias("a"), variants.alias("b")
+    within = F.col("a.rep") < F.col("b.rep")
+    for c in block:
         within &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    together = a.join(b, within & (F.col("a.ord") < F.col("b.ord")) & ~F.col("a.extraction_model").eqNullSafe(F.col("b.extraction_model")))
-    return together.filter(fuzzy.same_entity(F.col("a.s"), F.col("b.s")) & fuzzy.same_entity(F.col("a.o"), F.col("b.o"))).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
+    one = (F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low"))
+    met = a.join(b, within).filter(~one)
+    names = [(F.col(f"a.{n}"), F.col(f"b.{n}")) for n in ("s", "o")]
+    near = met.filter(possible(*names[0]) & possible(*names[1])).filter(same(*names[0]) & same(*names[1]))
+    pairs = stored(near.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")), "pairs")
+    touched = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
+    roots = components(pairs).select(F.col("node").alias("rep"), "root")
+    labelled = variants.join(touched, "rep", "left").join(roots, "rep", "left").filter((F.col("low") != F.col("high")) | F.col("linked"))
+    label = labelled.select(*[F.col(c).alias(f"v_{c}") for c in (*block, "s", "o")], F.coalesce("root", "rep").alias("label"))
+    equal = F.lit(True)
+    for c in (*block, "s", "o"):
+        equal &= F.col(c).eqNullSafe(F.col(f"v_{c}"))
+    return rows.join(label, equal, "left").select("ord", F.coalesce("label", "ord").alias("cluster"))
 
 
 def consensus(triples: DataFrame, *block: str, least: int = 2) -> DataFrame:
@@ -43,7 +60,8 @@ def consensus(triples: DataFrame, *block: str, least: int = 2) -> DataFrame:
     may meet in a cluster by way of another's.
     """
     held = stored(triples, "triples")
-    found = clustered(held, agreeing_pairs(held, *block))
+    named = held.select(*block, "ord", F.coalesce("extraction_model", F.lit("")).alias("tag"), text.entity_name(F.col("subject")).alias("s"), text.entity_name(F.col("object")).alias("o"), text.canonical_relation(F.col("relation")).alias("r"))
+    found = held.join(clusters(named.filter("s <> '' AND o <> ''"), [*block, "r"], fuzzy.possibly_same_entity, fuzzy.same_entity), "ord", "left").withColumn("cluster", F.coalesce("cluster", "ord"))
     models = held.groupBy(*block).agg(F.count_distinct("extraction_model").alias("n_block_models"))
     best = F.struct(F.col("confidence").cast("double"), F.length("subject") + F.length("object"), -F.col("ord"))
     kept = found.groupBy(*block, "cluster").agg(F.count_distinct("extraction_model").alias("n_models"), F.array_sort(F.collect_set("extraction_model")).alias("extraction_models"), F.max_by("ord", best).alias("ord")).filter(F.col("n_models") >= least)
@@ -67,7 +85,8 @@ def merge_pairs(edges: DataFrame, *block: str) -> DataFrame:
     for c in block:
         within &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     together = a.join(b, within & (F.col("a.ord") < F.col("b.ord")) & ~F.arrays_overlap(F.col("a.ids"), F.col("b.ids")))
-    return together.filter(fuzzy.alike(F.col("a.s"), F.col("b.s"), SAME) & fuzzy.alike(F.col("a.t"), F.col("b.t"), SAME)).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
+    near = together.filter(fuzzy.possible(F.col("a.s"), F.col("b.s"), SAME) & fuzzy.possible(F.col("a.t"), F.col("b.t"), SAME))
+    return near.filter(fuzzy.alike(F.col("a.s"), F.col("b.s"), SAME) & fuzzy.alike(F.col("a.t"), F.col("b.t"), SAME)).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
 
 
 def merged(clusters: DataFrame) -> DataFrame:
@@ -89,9 +108,17 @@ def merged(clusters: DataFrame) -> DataFrame:
 
 
 def merge_sources(edges: DataFrame, *block: str) -> DataFrame:
-    """Edges (with ord) of which those that claim the same from different sources have become one."""
+    """Edges (with ord) of which those that claim the same from different sources have become one.
+
+    Edges that come with several sources each are compared one by one, as they may overlap without being equal.
+    """
     held = stored(edges, "edges")
-    return merged(clustered(held, merge_pairs(held, *block)))
+    if held.filter(F.size("evidence.source_ids") > 1).head(1):
+        return merged(clustered(held, merge_pairs(held, *block)))
+    tag = F.coalesce(F.get("evidence.source_ids", F.lit(0)), F.concat(F.lit("row "), F.col("ord").cast("string")))
+    named = held.select(*block, "relation", "ord", tag.alias("tag"), F.lower("source_name").alias("s"), F.lower("target_name").alias("o"))
+    found = clusters(named, [*block, "relation"], lambda x, y: fuzzy.possible(x, y, SAME), lambda x, y: fuzzy.alike(x, y, SAME))
+    return merged(held.join(found, "ord"))
 
 
 def consolidated(edges: DataFrame) -> DataFrame:
