@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,8 +161,6 @@ def paired_t(seeds: DataFrame, *by: str) -> DataFrame:
     """Paired t statistic, degrees of freedom and two-sided p of a minus b over seeds."""
     from math import atan, cos, pi, sqrt
 
-    import pandas as pd
-
     @F.pandas_udf("double")
     def two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
         def p(x: float, n: float) -> float:
