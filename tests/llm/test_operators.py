@@ -1,0 +1,407 @@
+"""The corpus operators against brute force, and on awkward rows: nulls, empty and long texts, repeats, clashing columns."""
+
+import base64
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from conftest import SF, rows_of
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from kairoscope.llm import language_id, license_scan, line_dedup, lm_scoring, mixing, packing, quality, queries, simhash, topk, warc
+from kairoscope.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, h string, k string, counts string, place string, copies int, root string, piece string, c string"
+LONG = " ".join(f"word{i % 977} the of" for i in range(40_000)) + "\n" + "x" * 50_000
+PROSE = "The house by the river is old and it was built for the family of a miller, and they live in it to this day with all that they have. " * 3
+
+
+@pytest.fixture(scope="session")
+def awkward(spark):
+    rows = [
+        (None, "a text without an id, and the words of it are few", "en"), (1, None, None), (2, "", "en"), (3, " \t\n\x0b ", "fr"), (4, LONG, "en"), (5, PROSE, "en"), (5, PROSE, "en"), (6, PROSE, None), (7, PROSE + " tail", "de"),
+        (8, "Released under the MIT License.", "en"), (9, "ß é 漢字 <|endoftext|> 😀", "es"), (10, "same line here of words\nsame line here of words\nanother one of these", "en"),
+    ]
+    clash = (7, "x", "y", "z", "c", "p", 3, "r", "q", "c")
+    return spark.createDataFrame([(i, t, lang, None if i in (1, 9) else f"s{(i or 0) % 3}", None, *clash) for i, t, lang in rows], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_sql(spark, duck, name):
+    found, wanted = queries.QUERIES[name](spark, SF).toPandas(), duck.execute(queries.ORACLE[name]).df()
+    assert sorted(found.columns) == sorted(wanted.columns)
+    assert rows_of(found) == rows_of(wanted)
+
+
+def naive_fingerprint(text):
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return 0
+    grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [b" ".join(words)]
+    hashes = [xxhash.xxh64(g, seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def union_find(nodes, pairs):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {n: find(n) for n in nodes}
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 470)] + [(7, 7)]
+    wanted = union_find({x for p in pairs for x in p}, pairs)
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame([*pairs, (None, 3)], "a long, b long")).collect()}
+    assert found == {n: r for n, r in wanted.items() if n != r}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_quality_awkward(awkward, nothing):
+    found = {(r["doc_id"], r["n_words"]): r for r in quality.measure(awkward).collect()}
+    assert found[(1, 0)]["base_failed"] and found[(2, 0)]["base_failed"] and found[(3, 0)]["base_failed"]
+    assert found[(4, 120_001)]["n_dup_lines"] == 0
+    assert found[(10, 14)]["n_dup_lines"] == 1 and found[(10, 14)]["n_repeat_words"] == 10
+    kept = quality.filter_documents(awkward)
+    assert kept.columns == awkward.columns and all(r["doc_id"] not in (1, 2, 3) for r in kept.collect())
+    assert quality.filter_documents(nothing).count() == 0 and quality.measure(nothing).count() == 0
+
+
+def test_language_held_out(spark, documents, awkward, nothing):
+    found = language_id.identify(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").alias("f")
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    right = found.join(truth, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right > 0.97
+    rows = language_id.identify(awkward).collect()
+    assert len(rows) == 12 and all((r["lang_pred"], r["score"]) == ("und", 0.0) for r in rows if r["doc_id"] in (1, 2, 3))
+    assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows if r["doc_id"] is not None)
+    assert language_id.identify(nothing).count() == 0
+    unlabelled = language_id.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).select("lang_pred").distinct().collect()
+    assert [r[0] for r in unlabelled] == ["und"]
+
+
+def test_language_counts_in_blocks():
+    text = language_id.letters("the quick brown fox " * 20)
+    whole = language_id.counts(text)
+    block, language_id.BLOCK = language_id.BLOCK, 7
+    try:
+        assert (language_id.counts(text) == whole).all()
+    finally:
+        language_id.BLOCK = block
+    n = len(text.encode())
+    assert whole.sum() == 3 * n - 3
+
+
+def test_lm_scores(spark, documents, awkward, nothing):
+    model = lm_scoring.train(documents)
+    scored = {r["doc_id"]: r for r in lm_scoring.score(documents, model).collect()}
+    table, vocabulary = lm_scoring.log_probabilities(model["network"]), lm_scoring.Vocabulary(model["frequent"])
+    v = lm_scoring.CLASSES
+    assert np.allclose(np.exp(table.reshape(v, v, v)[3, :, 9]).sum(), 1, atol=1e-4)
+    for r in documents.limit(20).collect():
+        classes = [0, *(vocabulary[w] for w in r["text"].encode().lower().split()), 0]
+        total = sum(float(table[(classes[i - 1] * v + classes[i]) * v + classes[i + 1]]) for i in range(1, len(classes) - 1))
+        assert scored[r["doc_id"]]["n_tokens"] == len(classes) - 2
+        assert abs(scored[r["doc_id"]]["log_likelihood"] - total) < 1e-2
+    counts = Counter(w for r in documents.collect() for w in (r["text"] or "").encode().lower().split())
+    assert model["frequent"] == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: lm_scoring.FREQUENT]]
+    real = documents.filter(F.length("text") > 500).limit(40)
+    shuffled = real.withColumn("text", F.array_join(F.array_sort(F.split("text", " ")), " "))
+    mean = lambda d: lm_scoring.score(d, model).agg(F.avg("mean_log_likelihood")).first()[0]
+    assert mean(real) > mean(shuffled)
+    rows = {(r["doc_id"]): r for r in lm_scoring.score(awkward, lm_scoring.train(awkward)).collect()}
+    assert rows[1]["n_tokens"] == 0 and rows[2]["log_likelihood"] == 0.0 and rows[3]["mean_log_likelihood"] is None and rows[4]["n_tokens"] == 120_001
+    assert lm_scoring.score(nothing, lm_scoring.train(nothing)).count() == 0
+
+
+def test_simhash(documents, awkward, nothing):
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    prints = {d: naive_fingerprint(t) for d, t in texts.items()}
+    ids = sorted(prints)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (prints[a] ^ prints[b]).bit_count() <= 3]
+    wanted = union_find(ids, pairs)
+    found = {r["doc_id"]: r for r in simhash.digest(simhash.near_duplicates(documents)).collect()}
+    assert {d: int(r["fingerprint"], 16) for d, r in found.items()} == prints
+    assert {d: r["component_id"] for d, r in found.items()} == wanted
+    rows = simhash.digest(simhash.near_duplicates(awkward)).collect()
+    assert len(rows) == 12 and {r["fingerprint"] for r in rows if r["doc_id"] in (1, 2, 3)} == {"0" * 16} and {r["component_id"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
+    kept = simhash.keep_one(awkward)
+    assert kept.columns == awkward.columns
+    assert sorted((r["doc_id"] or -1) for r in kept.collect() if r["doc_id"] in (1, 2, 3, 5, 6)) == [1, 5]
+    assert simhash.keep_one(nothing).count() == 0
+
+
+def test_simhash_links_are_complete(spark):
+    rng = random.Random(11)
+    prints = {rng.getrandbits(64) for _ in range(40)}
+    for p in list(prints):
+        for _ in range(10):
+            x = rng.choice([p, *list(prints)[:5]])
+            for _ in range(rng.randint(0, 5)):
+                x ^= 1 << rng.randrange(64)
+            prints.add(x)
+    signed = {x: x - (1 << 64) if x >> 63 else x for x in prints}
+    wanted = union_find(signed.values(), [(signed[a], signed[b]) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3])
+    found = {r["node"]: r["root"] for r in components(simhash.links(spark.createDataFrame([(x,) for x in signed.values()], "fp long"))).collect()}
+    assert {x: found.get(x, x) for x in wanted} == wanted
+
+
+def test_license_rules(spark, awkward, nothing):
+    assert all(any(k in s.lower() for k in license_scan.KEYS) for s, _ in license_scan.spelled())
+    s = license_scan.SENTENCES
+    mit = f"Copyright (c) 2020 A\n\n{s['mit-grant'].replace(' to use', chr(10) + 'to use')}\n\n{s['mit-notice']}\n\n{s['mit-warranty']}"
+    bsd = f"{s['bsd-redistribution']}\n\n1. {s['bsd-source']}\n2. {s['bsd-binary']}\n"
+    names = lambda t: [x[2] for x in license_scan.scan_text(t)[1]]
+    assert names("Some prose\nReleased under the MIT License.\nMore prose. And so\n" + mit) == ["MIT", "MIT"]
+    assert names(bsd) == ["BSD-2-Clause"] and names(f"{bsd}3. {s['bsd-names']}") == ["BSD-3-Clause"]
+    assert names("# SPDX-License-Identifier: Apache-2.0\nx") == ["Apache-2.0"] and names("licensed under the sea of words") == []
+    assert names("Copyright 2020 B. All rights reserved.") == ["all-rights-reserved"]
+    text = "x\nLicensed under CC BY-NC 4.0.\ny"
+    (start, end, name), = license_scan.scan_text(text)[1]
+    assert text[start:end] == "Licensed under CC BY-NC 4.0." and name == "CC-BY-NC-4.0"
+    rows = {r["doc_id"]: r for r in license_scan.digest(license_scan.scan(awkward)).collect()}
+    assert rows[8]["licences"] == "MIT" and rows[1]["licences"] == "" and rows[4]["n_sentences"] == 0 and len(rows) == 11
+    assert license_scan.scan(nothing).count() == 0
+
+
+def test_license_notices_are_found(documents):
+    found = {r["doc_id"]: r["licences"] for r in license_scan.digest(license_scan.scan(documents)).collect()}
+    lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
+    for r in documents.collect():
+        assert {lines[x] for x in lines if x in (r["text"] or "")} == {x for x in found[r["doc_id"]].split(",") if x}
+
+
+def test_top_k_awkward(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (20, [1.0, 2.0]), (3, [1.0, None]), (40, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (None, [1.0, 1.0]), (7, [0.5, 0.5]), (60, [1.0]), (8, [1e300, 1e300]), (9, [-1.0, -0.001])]
+    table = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows], "vec_id long, embedding array<double>, score string, rank int")
+    found = topk.top_k(table, F.col("vec_id") % 20 == 0).collect()
+    by = defaultdict(list)
+    for r in found:
+        by[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(by) == [0, 20]  # 60 has a length of its own, 40 is null
+    assert sorted(by[0]) == [(1, 8, 2**63 - 1), (2, 20, 64 * 64 * 5), (3, 20, 64 * 64 * 5), (4, 7, 32 * 64 * 3), (5, 9, 64 * -64 + 128 * -1)]
+    assert [x[1] for x in sorted(by[20])] == [8, 0, 7, 9]
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_top_k_trees():
+    rng = np.random.default_rng(3)
+    points = np.floor(rng.normal(0, 20, (3000, 8)))
+    points[:700] = points[0]  # one very common vector
+    ids, queries_ = np.arange(3000), points[rng.integers(0, 3000, 40)]
+    found = defaultdict(list)
+    for q, i, s in topk.search(points, ids, queries_, np.full(40, -1), np.full(40, -np.inf), 20):
+        found[q].append((-s, i))
+    for q in range(40):
+        scores = points @ queries_[q]
+        assert sorted(found[q]) == sorted(zip((-scores).tolist(), ids.tolist(), strict=True))[:20]
+
+
+def test_mixing(awkward, nothing, documents):
+    rows = mixing.decide(awkward).collect()
+    assert len(rows) == 12 and all(0 <= r["taken"] <= 2 * r["size"] for r in rows) and all(r["size"] == 0 and r["taken"] == 0 for r in rows if r["doc_id"] in (1, 2, 3))
+    mixed = mixing.mix(awkward)
+    assert mixed.columns == awkward.columns
+    taken = Counter({(r["doc_id"], r["size"]): r["taken"] // r["size"] for r in rows if r["size"]})
+    again = Counter(r["doc_id"] for r in mixed.collect())
+    assert again[5] == 2 * taken[(5, next(s for d, s in taken if d == 5))]
+    assert mixing.mix(nothing).count() == 0 and mixing.decide(nothing).count() == 0
+    by = defaultdict(lambda: [0, 0.0, 0])
+    for r in (rows := mixing.decide(documents).collect()):
+        by[(r["source_size"], r["target"])][0] += r["taken"]
+        by[(r["source_size"], r["target"])][2] = max(by[(r["source_size"], r["target"])][2], r["size"])
+    assert all(abs(taken - target) <= largest for (_, target), (taken, _, largest) in by.items())
+    total = sum(r["size"] for r in rows)
+    targets = {(r["source_size"], r["target"]) for r in rows}
+    assert abs(sum(t for _, t in targets) - 1.5 * total) < 1e-6 * total and all(t <= 2 * s for s, t in targets)
+    assert sorted(mixing.decide(documents.repartition(7)).collect()) == sorted(rows)
+
+
+def whole_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_packing(documents, awkward, nothing):
+    tokenizer = whole_tokenizer()
+    for docs, most_waste in ((documents, 3), (awkward, 12)):
+        wanted = Counter()
+        for r in docs.collect():
+            ids = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+            first = len(ids) % 2048 or 2048
+            edges = [0, *range(first, len(ids) + 1, 2048)]
+            for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                wanted[(r["doc_id"], i, a, b - a, zlib.crc32(ids[a:b].tobytes()))] += 1
+        rows = packing.pack_documents(docs).collect()
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == wanted
+        sequences = defaultdict(list)
+        for r in rows:
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        for places in sequences.values():
+            at = 0
+            for offset, length in sorted(places):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        assert len(sequences) <= -(-sum(r["length"] for r in rows) // 2048) + most_waste
+    assert packing.pack_documents(nothing).count() == 0
+    ids = packing.pack_documents(awkward, with_ids=True).filter("doc_id = 5 AND piece = 0").first()["ids"]
+    assert ids[:-1] == tokenizer.encode(PROSE, add_special_tokens=False).ids
+
+
+def test_both_tokenizers_agree():
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(packing.LATIN + 1)]
+    for _ in range(3000):
+        text = "".join(rng.choice(letters if rng.random() < 0.3 else "  \n\tabc'streLd.,12\xa0\x85\x1c") for _ in range(rng.randint(0, 50)))
+        assert encode(text).tolist() == encode.slow(text).tolist()
+
+
+def test_patterns_use_every_piece_once():
+    rng = np.random.default_rng(1)
+    for counts in (rng.integers(0, 40, packing.SEQUENCE + 1), rng.integers(0, 3, packing.SEQUENCE + 1) * (rng.random(packing.SEQUENCE + 1) < 0.02)):
+        counts[0] = 0
+        used = Counter()
+        for lengths, times in packing.patterns(counts):
+            assert times > 0 and sum(lengths) <= packing.SEQUENCE
+            for x in lengths:
+                used[x] += times
+        assert used == Counter({x: int(n) for x, n in enumerate(counts) if n})
+
+
+def brute_lines(rows):
+    """(doc_id, line number) of the lines that go."""
+    lines = defaultdict(list)
+    for doc_id, text in rows:
+        for i, line in enumerate((text or "").split("\n")):
+            if line.strip(" \t\r\x0b\x0c"):
+                lines[line].append((doc_id, i))
+    texts = list(lines)
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    inverted, pairs = defaultdict(list), []
+    for i, s in enumerate(sets):
+        shared = Counter(j for g in s for j in inverted[g])
+        pairs += [(i, j) for j, n in shared.items() if n >= 0.8 * (len(s) + len(sets[j]) - n)]
+        for g in s:
+            inverted[g].append(i)
+    roots = union_find(range(len(texts)), pairs)
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[roots[i]] += lines[t]
+    return {place for places in groups.values() for place in sorted(places)[1:]}
+
+
+def test_line_dedup(documents, awkward, nothing):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    wanted = brute_lines(rows)
+    found = {(r["doc_id"], i) for r in line_dedup.decide(documents).collect() for i in r["dropped"]}
+    assert not found - wanted and len(found) >= 0.99 * len(wanted)
+    new = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents).collect()}
+    for doc_id, text in rows:
+        left = "\n".join(x for i, x in enumerate((text or "").split("\n")) if (doc_id, i) not in found)
+        assert new.get(doc_id) == (left if left.strip() or not (text or "").strip() else None)
+    decided = line_dedup.decide(awkward).collect()
+    assert len(decided) == 12 and all(r["n_lines"] == 0 and r["dropped"] == [] for r in decided if r["doc_id"] in (1, 2, 3))
+    assert [r["dropped"] for r in decided if r["doc_id"] == 10] == [[1]]
+    assert [r["dropped"] for r in decided if r["doc_id"] == 5] == [[], []] and [r["dropped"] for r in decided if r["doc_id"] == 6] == [[0]]
+    out = line_dedup.dedup_lines(awkward)
+    assert out.columns == awkward.columns and sorted((r["doc_id"] or -1) for r in out.collect()) == [-1, 1, 2, 3, 4, 5, 5, 8, 9, 10]
+    assert line_dedup.dedup_lines(nothing).count() == 0 and line_dedup.decide(nothing).count() == 0
+
+
+def test_line_dedup_group_of_near_copies(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(300))
+    texts = [base[:p] + rng.choice("xyz") + base[p + 1 :] for p in rng.sample(range(300), 120)] + ["other text entirely " + str(i) * 9 for i in range(5)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {(r["doc_id"], i) for r in line_dedup.decide(docs).collect() for i in r["dropped"]}
+    assert found == brute_lines(list(enumerate(texts)))
+
+
+def test_warc_round_trip(spark, nothing):
+    rows = [(1, "http://a/é b", "<p>x"), (2, None, "<p>x"), (None, "http://n", "<p>x"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "ü" * 70_000), (2, None, "<p>x"), (6, "u", "WARC/1.1\r\n\r\n")]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, digest string, payload int")
+    found = {(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.digest(warc.round_trip(pages)).collect()}
+    sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    x, e = sha("<p>x"), sha("")
+    assert found == {(1, 4, x, "revisit", 2), (2, 4, x, "response", None), (None, 4, x, "revisit", 2), (3, 0, e, "revisit", 4), (4, 0, e, "response", None), (5, 140_000, sha("ü" * 70_000), "response", None), (6, 12, sha("WARC/1.1\r\n\r\n"), "response", None)}
+    assert warc.digest(warc.round_trip(pages)).count() == 8
+    assert warc.digest(warc.round_trip(pages, least_bytes=5)).filter("record_type = 'revisit'").count() == 0
+    assert warc.digest(warc.round_trip(pages.limit(0))).count() == 0
+    payloads = {r["payload"] for r in warc.round_trip(pages).filter("record_type = 'response'").collect()}
+    assert bytes("ü" * 70_000, "utf-8") in {bytes(p) for p in payloads}
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_warc_salvage(packed):
+    records = [warc.encode_record(i, f"http://x/{i}", (f"<html>{i}" * 900).encode()) for i in range(12)]
+    parts = [warc.member(r) if packed else r for r in records]
+    data = bytearray(b"".join(parts))
+    begin = sum(map(len, parts[:4]))
+    middle = begin + len(parts[4]) // 2
+    data[middle] ^= 0xFF
+    data = b"garbage" + bytes(data[:-9])
+    items = list(warc.salvage(data))
+    good = [int(i[3]["warc-record-id"].rsplit(":", 1)[1][:-1]) for i in items if i[0] == "record"]
+    assert good == [0, 1, 2, 3, 5, 6, 7, 8, 9, 10]
+    gaps = [(a, b) for kind, a, b, *_ in items if kind == "gap"]
+    assert gaps == [(0, 7), (7 + begin, 7 + begin + len(parts[4])), (7 + sum(map(len, parts[:11])), len(data))]
+    spans = sorted({(i[1], i[2]) for i in items})
+    assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_pipeline_stages(spark, documents, awkward, nothing, duck):
+    kept = {r["doc_id"] for r in quality.measure(documents).filter("kept").collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["quality_rules"](spark, documents, SF)
+    assert {r["doc_id"] for r in one.collect()} == kept
+    two = stages["line_dedup"](spark, one, SF)
+    gone = brute_lines([(r["doc_id"], r["text"]) for r in one.collect()])
+    for r in two.collect():
+        source = one.filter(F.col("doc_id") == r["doc_id"]).first()["text"] if r["doc_id"] in (0, 1, 2, 3, 4) else None
+        if source is not None:
+            assert r["text"] == "\n".join(x for i, x in enumerate(source.split("\n")) if (r["doc_id"], i) not in gone)
+    three = stages["simhash_near_dedup"](spark, two, SF)
+    prints = {r["doc_id"]: naive_fingerprint(r["text"]) for r in two.collect()}
+    ids = sorted(prints)
+    roots = union_find(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (prints[a] ^ prints[b]).bit_count() <= 3])
+    assert sorted(r["doc_id"] for r in three.collect()) == sorted(set(roots.values()))
+    four = stages["mixing"](spark, three, SF)
+    copies = {r["doc_id"]: r["copies"] for r in mixing.plan(three).collect()}
+    assert Counter(r["doc_id"] for r in four.collect()) == Counter({d: c for d, c in copies.items() if c})
+    five = stages["best_fit_packing"](spark, four, SF)
+    assert five.filter("piece = 0").count() == four.count()
+    assert corpus_pipeline.run(spark, SF).count() == five.count()
+    for docs in (awkward, nothing):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns
+            out.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
