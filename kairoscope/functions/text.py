@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kairoscope.model import CARRIERS, MISSING, RELATION_SYNONYMS, TYPE_SYNONYMS, look_up
 
@@ -93,11 +97,51 @@ def list_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9 ]", " "), r"\s+", " "))
 
 
+# Endings of disease and phenotype names, and phenotypes that are the same.
+DISEASE_ENDINGS = (" syndrome", " disease", " disorder", " (disorder)")
+PHENOTYPE_ENDINGS = (", severe", ", mild", ", moderate", ", chronic", ", acute")
+PHENOTYPES = {
+    "delayed walking": "delayed_motor_milestones", "delayed motor development": "delayed_motor_milestones", "motor delay": "delayed_motor_milestones", "delayed gross motor development": "delayed_motor_milestones",
+    "gait delay": "delayed_motor_milestones", "delayed gait": "delayed_motor_milestones", "intellectual disability": "intellectual_disability", "intellectual disabilities": "intellectual_disability",
+    "mental retardation": "intellectual_disability", "developmental delay": "developmental_delay", "global developmental delay": "developmental_delay", "muscle weakness": "muscle_weakness", "muscular weakness": "muscle_weakness",
+    "proximal muscle weakness": "proximal_weakness", "proximal weakness": "proximal_weakness", "seizure": "seizures", "seizures": "seizures", "epilepsy": "seizures", "convulsions": "seizures",
+    "hypotonia": "hypotonia", "muscular hypotonia": "hypotonia", "low muscle tone": "hypotonia",
+}
+# Names that stand for a time of life and not for a phenotype.
+TIME_LABELS = ("symptom onset", "diagnosis", "death", "organ failure", "infant mortality", "age of onset", "onset age", "disease onset", "clinical presentation")
+TIME_PATTERN = r"^(neonatal|congenital|prenatal|fetal|birth|newborn|infant(ile|cy|)?|pediatric|childhood|early childhood|late childhood|juvenile|adolescent|young adult|adult|elderly|late[- ]onset|early[- ]onset)\s+(presentation|onset)$"
+
+
+def _without(name: Column, endings: tuple) -> Column:
+    """A name without the endings, taken off in their order, each once."""
+    return F.aggregate(F.array(*map(F.lit, endings)), name, lambda s, e: F.when(F.endswith(s, e), F.left(s, F.length(s) - F.length(e))).otherwise(s))
+
+
+def disease_key(name: Column) -> Column:
+    return F.trim(_without(F.lower(F.trim(name)), DISEASE_ENDINGS))
+
+
 def phenotype_key(name: Column) -> Column:
-    """Without brackets and severity words, joined by underscores."""
-    out = F.regexp_replace(F.lower(F.trim(name)), r"\([^)]*\)", "")
-    out = F.regexp_replace(out, r"\b(mild|moderate|severe|profound|progressive|chronic|acute)\b", "")
-    return F.regexp_replace(F.trim(F.regexp_replace(out, r"\s+", " ")), " ", "_")
+    """Without a bracket at the end and severity words; the common name of synonyms, else joined by underscores."""
+    plain = F.trim(_without(F.trim(F.regexp_replace(F.lower(F.trim(name)), r"\s*\([^)]*\)\s*$", "")), PHENOTYPE_ENDINGS))
+    return F.coalesce(look_up(PHENOTYPES, plain), F.regexp_replace(plain, "[ -]", "_"))
+
+
+def is_time_label(name: Column) -> Column:
+    """Labels that must not be merged with others."""
+    key = F.lower(F.trim(name))
+    return key.isin(*TIME_LABELS) | key.rlike(TIME_PATTERN)
+
+
+@F.pandas_udf(T.StringType())
+def decomposed(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: None if n is None else unicodedata.normalize("NFKD", n))
+
+
+def folded(name: Column) -> Column:
+    """Compatibility-decomposed, lower case, without apostrophes and a mark at the end."""
+    low = F.regexp_replace(F.trim(F.lower(decomposed(name))), "['`’]", "")
+    return F.regexp_replace(F.regexp_replace(low, r"\s+", " "), "[.,;:]$", "")
 
 
 def padded_id(text: Column, prefix: str = "MONDO", width: int = 7) -> Column:
@@ -158,11 +202,22 @@ def topic_entities(text: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(found), 1, most)
 
 
-def keywords(question: Column, name: Column) -> Column:
-    """Words of a question that say what it asks, without the entity it asks about."""
-    rest = F.replace(F.lower(question), F.lower(name), F.lit(" "))
-    stop = F.array(*map(F.lit, QUESTION_WORDS))
-    return F.array_distinct(F.filter(F.regexp_extract_all(rest, F.lit(r"[a-z]{4,}"), 0), lambda w: ~F.array_contains(stop, w)))
+# Phrases and words of questions that say nothing of their subject; words of time stay.
+FILLERS = ("which of the following", "based on typical", "is most consistent", "what phenotypes are", "rank the following", "is age", "within the typical onset window", "does not typically present")
+KEYWORD_STOPS = (
+    "the", "and", "for", "with", "from", "this", "that", "have", "has", "are", "was", "were", "been", "being", "their", "which", "what",
+    "does", "during", "typically", "following", "clinical", "most", "consistent", "presentation", "typical",
+)
+
+
+def keywords(question: Column) -> Column:
+    """Words of more than three letters that say what a question is about."""
+    low = F.lower(question)
+    for f in FILLERS:
+        low = F.replace(low, F.lit(f), F.lit(""))
+    stop = F.array(*map(F.lit, KEYWORD_STOPS))
+    kept = F.filter(F.split(low, r"\s+"), lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w))
+    return F.array_distinct(F.transform(kept, lambda w: F.regexp_replace(w, r"^[.,?!()]+|[.,?!()]+$", "")))
 
 
 def options(letters_to_text: Column) -> Column:

@@ -12,7 +12,7 @@ STUDY_OF_TYPE = (
     ("meta-analysis", "meta-analysis"), ("randomized controlled trial", "RCT"), ("practice guideline", "guideline"), ("guideline", "guideline"),
     ("systematic review", "meta-analysis"), ("clinical trial", "cohort"), ("case reports", "case-report"), ("review", "review"),
 )
-EXCLUDED_TYPES = ("comment", "editorial", "letter", "news", "published erratum", "retracted publication")
+EXCLUDED_TYPES = ("editorial", "letter", "comment", "erratum", "retraction of publication", "retracted publication", "news", "published erratum", "biography")
 LEAST_WORDS = 100
 
 
@@ -59,18 +59,24 @@ def collection(docs: DataFrame) -> DataFrame:
 
 
 def strategy(n_articles: Column, n_tier1: Column) -> Column:
-    """How much a disease's literature is worth: by articles (over 500, 50) and tier-1 sources."""
-    return F.when((n_articles > 500) & (n_tier1 >= 1), "rich").when((n_articles >= 50) | (n_tier1 >= 1), "moderate").otherwise("sparse")
+    """struct(coverage, expected_yield) by articles (500, 50) and tier-1 sources (two, one)."""
+    rich, some = (n_articles >= 500) & (n_tier1 >= 2), (n_articles >= 50) | (n_tier1 >= 1)
+    return F.struct(F.when(rich, "rich").when(some, "moderate").otherwise("sparse").alias("coverage"), F.when(rich, "high").when(some, "medium").otherwise("low").alias("expected_yield"))
 
 
 def sufficient(n_tier1: Column, n_articles: Column) -> Column:
     return (n_tier1 >= 1) | (n_articles >= 10)
 
 
-def queries_for(name: Column, genes: Column) -> Column:
-    """Search queries for a disease and its genes."""
-    own = F.array(F.concat(F.lit('"'), name, F.lit('" AND (onset OR "natural history")')), F.concat(F.lit('"'), name, F.lit('" AND (treatment OR therapy)')), F.concat(F.lit('"'), name, F.lit('" AND (phenotype OR progression)')))
-    return F.concat(own, F.transform(F.slice(F.coalesce(genes, F.array().cast("array<string>")), 1, 3), lambda g: F.concat(F.lit('"'), name, F.lit('" AND "'), g, F.lit('"'))))
+# What a disease's literature is searched for.
+TOPICS = ("(treatment OR therapy OR management)", "(pathogenesis OR mechanism OR genetics)", "(diagnosis OR biomarker OR prognosis)", "(natural history OR progression OR outcome)")
+
+
+def queries_for(name: Column, differentials: Column) -> Column:
+    """Search queries for a disease, and for telling it from its first three differential diagnoses."""
+    quoted = F.concat(F.lit('"'), name, F.lit('" AND '))
+    own = F.array(*[F.concat(quoted, F.lit(t)) for t in TOPICS])
+    return F.concat(own, F.transform(F.slice(F.coalesce(differentials, F.array().cast("array<string>")), 1, 3), lambda d: F.concat(quoted, F.lit('"'), d, F.lit('" AND (differential OR distinguish)'))))
 
 
 def gold_documents(snippets: DataFrame) -> DataFrame:
@@ -117,3 +123,23 @@ def rate_limited(calls: DataFrame, most: int = 500, seconds: int = 3600, *, by:
     """Calls with how many the caller made in the window up to each, and whether that is too many."""
     w = Window.partitionBy(by).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return calls.withColumn("in_window", F.count("*").over(w)).withColumn("limited", F.col("in_window") > most)
+
+
+def preferred(paths: DataFrame) -> DataFrame:
+    """One file for each folder of paths (path): the compressed one where both are there."""
+    plain = F.regexp_replace("path", r"\.gz$", "")
+    return paths.groupBy(plain.alias("name")).agg(F.max("path").alias("path"))
+
+
+def vocabulary(edges: DataFrame) -> DataFrame:
+    """name, count, ord: phenotypes by folded spelling, each under its most frequent surface form, most frequent first."""
+    raw = edges.filter("target_type = 'phenotype'").select(F.trim("target_name").alias("surface")).filter("surface <> ''").groupBy("surface").count()
+    keyed = raw.withColumn("key", text.folded(F.col("surface"))).filter("key <> ''")
+    best = keyed.groupBy("key").agg(F.max(F.struct("count", "surface")).alias("x"), F.sum("count").alias("count"))
+    return best.select(F.col("x.surface").alias("name"), "count").withColumn("ord", F.row_number().over(Window.orderBy(F.desc("count"), "name")))
+
+
+def batch_summary(results: DataFrame) -> DataFrame:
+    """One row over batch results (result, error, kg_coverage): how many, succeeded, failed, and the share that the graph covers."""
+    ok = F.col("error").isNull()
+    return results.agg(F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"), F.coalesce(F.avg((ok & F.col("kg_coverage")).cast("double")), F.lit(0.0)).alias("kg_hit_rate"))

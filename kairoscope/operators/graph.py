@@ -177,3 +177,27 @@ def temporal_relations(edges: DataFrame) -> DataFrame:
 def link_metrics(ranks: DataFrame, *by: str) -> DataFrame:
     """Mean reciprocal rank and hits at 1, 3 and 10."""
     return ranks.groupBy(*by).agg(F.avg(1 / F.col("rank")).alias("mrr"), *[F.avg((F.col("rank") <= k).cast("double")).alias(f"hits_{k}") for k in (1, 3, 10)])
+
+
+def keyword_ranked(questions: DataFrame, edges: DataFrame, most: int = 15, least: int = 2, bonuses: bool = True) -> DataFrame:
+    """question_id -> the best edges of its diseases by how many of its keywords they hold, and by their time.
+
+    A stated onset counts two more, a stage and a qualifier one each. A question whose best edge scores less than `least`
+    has none. questions is (question_id, question, disease_id).
+    """
+    t = F.col("temporal")
+    asked = questions.select("question_id", "disease_id", text.keywords(F.col("question")).alias("keywords"))
+    met = asked.join(edges, asked["disease_id"] == edges["disease_profile_id"])
+    said = F.lower(F.concat_ws(" ", "source_name", "target_name", "relation", F.to_json("temporal")))
+    score = F.size(F.filter("keywords", lambda k: F.contains(said, k)))
+    if bonuses:
+        score = score + F.when(t["onset_age_min"].isNotNull(), 2).otherwise(0) + text.present(t["progression_stage"]).cast("int") + text.present(t["temporal_qualifier"]).cast("int")
+    by = Window.partitionBy("question_id")
+    ranked_ = met.withColumn("score", score).withColumns({"rank": F.row_number().over(by.orderBy(F.desc("score"), "edge_id")), "best": F.max("score").over(by)})
+    return ranked_.filter((F.col("rank") <= most) & (F.col("best") >= least)).drop("best", "keywords")
+
+
+def bullet(source: Column, relation: Column, target: Column, said: Column) -> Column:
+    """An edge as a line of a prompt, with the start of what its evidence says."""
+    snippet = F.when(F.coalesce(said, F.lit("")) != "", F.concat(F.lit(" ["), F.left(said, F.lit(80)), F.lit("]"))).otherwise("")
+    return F.concat(F.lit("- "), F.coalesce(source, F.lit("?")), F.lit(" → "), F.replace(F.coalesce(relation, F.lit("?")), F.lit("_"), F.lit(" ")), F.lit(" → "), F.coalesce(target, F.lit("?")), snippet)

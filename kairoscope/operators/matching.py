@@ -172,3 +172,17 @@ def first_listed(left: DataFrame, crosswalk: DataFrame, gold: DataFrame, key: st
     hits = listed.join(gold.select("gold_id").distinct(), "gold_id", "left_semi")
     first = hits.groupBy(key).agg(F.min_by("gold_id", "pos").alias("gold_id"))
     return left.join(first, key).join(gold, "gold_id")
+
+
+def by_name(gold: DataFrame, own: DataFrame, least: float = 85.0) -> DataFrame:
+    """gold name -> own name (name, synonyms): equal, else a synonym, else the most similar at `least` or more."""
+    asked = gold.select(key_of(F.col("name")).alias("k")).distinct()
+    names = own.select(key_of(F.col("name")).alias("own_name"), "synonyms")
+    exact = asked.join(names, asked["k"] == names["own_name"]).select("k", "own_name")
+    spelled = names.select("own_name", F.explode("synonyms").alias("s")).join(names.select(F.col("own_name").alias("s")), "s", "left_anti")
+    rest = asked.join(exact, "k", "left_anti")
+    synonym = rest.join(spelled, rest["k"] == F.lower("s")).groupBy("k").agg(F.max("own_name").alias("own_name"))
+    left = rest.join(synonym, "k", "left_anti").select(F.col("k").alias("mention"))
+    stock = names.select(F.col("own_name").alias("name")).distinct().withColumn("ord", F.xxhash64("name"))
+    near = best_fuzzy(left, stock, least).select(F.col("mention").alias("k"), F.col("name").alias("own_name"))
+    return exact.unionByName(synonym).unionByName(near).select(F.col("k").alias("name"), "own_name")

@@ -371,3 +371,37 @@ def test_partitioning_changes_nothing(spark):
     pick = lambda df: sorted(map(str, df.select("ord", "n_members", "evidence").collect()))
     assert pick(consensus.merge_sources(edges, "disease_profile_id")) == pick(consensus.merge_sources(edges.repartition(7, F.rand(3)), "disease_profile_id"))
     assert isinstance(edges.toPandas(), pd.DataFrame)
+
+
+def test_name_keys(spark):
+    assert value(spark, text.disease_key(F.lit("Rett Syndrome"))) == "rett" and value(spark, text.phenotype_key(F.lit("Muscular weakness (HP), mild"))) != ""
+    assert value(spark, text.phenotype_key(F.lit("Epilepsy (seizure type)"))) == "seizures" and value(spark, text.phenotype_key(F.lit("Gait-ataxia, severe"))) == "gait_ataxia"
+    assert value(spark, text.is_time_label(F.lit("Neonatal onset"))) and not value(spark, text.is_time_label(F.lit("ataxia")))
+    df = spark.createDataFrame([("Gowers\u2019  sign.",), (None,)], "n string")
+    assert [r["f"] for r in df.select(text.folded(F.col("n")).alias("f")).collect()] == ["gowers sign", None]
+    assert value(spark, text.keywords(F.lit("Which of the following has ataxia during early childhood?"))) == ["ataxia", "early", "childhood"]
+    assert value(spark, evidence.strategy(F.lit(600), F.lit(1)))["coverage"] == "moderate" and len(value(spark, evidence.queries_for(F.lit("X"), F.array(*map(F.lit, "abcd"))))) == 7
+
+
+def test_ranked_by_keywords(spark):
+    edges = edge_rows(spark, [("Rett", "disease", "manifests_as", "ataxia", "phenotype", None, None, ["1"], 0.5), ("Rett", "disease", "manifests_as", "rash", "phenotype", None, None, ["2"], 0.5)])
+    edges = edges.withColumn("temporal", F.col("temporal").withField("onset_age_min", F.when(F.col("ord") == 0, 2.0)))
+    asked = spark.createDataFrame([(1, "When does ataxia begin?", "MONDO:1"), (2, "Where is fever?", "MONDO:2")], "question_id int, question string, disease_id string")
+    found = graph.keyword_ranked(asked, edges).collect()
+    assert [(r["question_id"], r["target_name"], r["score"]) for r in found if r["rank"] == 1] == [(1, "ataxia", 3)]
+    assert graph.keyword_ranked(asked, edges, least=9).count() == 0
+
+
+def test_gold_by_name(spark):
+    own = spark.createDataFrame([("Rett syndrome", ["RTT"]), ("Becker dystrophy", [])], "name string, synonyms array<string>")
+    gold_ = spark.createDataFrame([("rett syndrome",), ("rtt",), ("becker distrophy",), ("none such",)], "name string")
+    assert {r["name"]: r["own_name"] for r in matching.by_name(gold_, own).collect()} == {"rett syndrome": "rett syndrome", "rtt": "rett syndrome", "becker distrophy": "becker dystrophy"}
+
+
+def test_vocabulary_and_batches(spark):
+    rows = [("a1", "disease", "r", p, "phenotype", None, None, ["1"], 0.5) for p in ("Gait ataxia", "gait ataxia", "Gait ataxia", "rash")]
+    assert [(r["name"], r["count"]) for r in evidence.vocabulary(edge_rows(spark, rows)).orderBy("ord").collect()] == [("Gait ataxia", 3), ("rash", 1)]
+    done = spark.createDataFrame([("x", None, True), ("y", None, False), (None, "late", None)], "result string, error string, kg_coverage boolean")
+    assert tuple(evidence.batch_summary(done).first())[:3] == (3, 2, 1)
+    paths = spark.createDataFrame([("a/x.json",), ("a/x.json.gz",), ("b/x.json",)], "path string")
+    assert sorted(r["path"] for r in evidence.preferred(paths).collect()) == ["a/x.json.gz", "b/x.json"]
