@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kairoscope.storage import fresh_path, shared_dir, stored
+
+__all__ = ["BROADCAST_ROWS", "WORD_CHAR", "WORD_GAP", "fresh_path", "join_summary", "let", "n_words_of", "shared_dir", "stored", "table", "text_hash", "unused"]
+
 #: What separates words, everywhere in this package: space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: A character that is part of a word.
@@ -22,33 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir as the session has it.
-
-    Only where the session names none (tests) is a folder of our own made and set.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kairoscope-"))
-    return (named or sc.getCheckpointDir()).rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, for tables or files of one run."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as a Parquet table in the shared folder and read again.
-
-    Lineage ends here: a lost executor costs no recomputation of what came before, and later steps read only the columns they need. Void columns are kept as strings.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value evaluated once.
 
@@ -57,11 +32,6 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text; null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
-
-
 def n_words_of(text: Column) -> Column:
     """The number of words, without keeping them: gaps between trimmed words, plus one."""
     parts = F.split(F.coalesce(text, F.lit("")), WORD_GAP)
