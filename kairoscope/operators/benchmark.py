@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kairoscope.functions import ages, parse, text
+from kairoscope.operators.ranks import numbered
 
 LETTERS = ("A", "B", "C", "D")
 # Words that make an answer temporal, and milestones that precede others.
@@ -202,7 +203,7 @@ def cleaned(questions: DataFrame, counts: DataFrame) -> DataFrame:
     best = Window.partitionBy("disease_id", "type", "entity").orderBy(F.desc("confidence"), "ord")
     one = kept.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r").join(counts, "disease_id", "left")
     hard = difficulty(F.col("type"), F.col("answer"), F.col("n_triples"), F.col("difficulty"))
-    return one.withColumns({"difficulty": hard, "question_id": F.format_string("TQA-%05d", F.row_number().over(Window.orderBy("ord")))})
+    return numbered(one.withColumn("difficulty", hard), "number", "ord").withColumn("question_id", F.format_string("TQA-%05d", F.col("number"))).drop("number")
 
 
 def statistics(questions: DataFrame) -> DataFrame:

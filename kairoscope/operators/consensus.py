@@ -61,6 +61,7 @@ def consensus(triples: DataFrame, *block: str, least: int = 2) -> DataFrame:
     """
     held = stored(triples, "triples")
     named = held.select(*block, "ord", F.coalesce("extraction_model", F.lit("")).alias("tag"), text.entity_name(F.col("subject")).alias("s"), text.entity_name(F.col("object")).alias("o"), text.canonical_relation(F.col("relation")).alias("r"))
+    named = stored(named, "named")  # normalised once, read by the comparison and by the labels
     found = held.join(clusters(named.filter("s <> '' AND o <> ''"), [*block, "r"], fuzzy.possibly_same_entity, fuzzy.same_entity), "ord", "left").withColumn("cluster", F.coalesce("cluster", "ord"))
     models = held.groupBy(*block).agg(F.count_distinct("extraction_model").alias("n_block_models"))
     best = F.struct(F.col("confidence").cast("double"), F.length("subject") + F.length("object"), -F.col("ord"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.functions import scores, text
+from kairoscope.operators.ranks import numbered
 
 # Publication types in order of priority, those that are left out, and the fewest words of an abstract.
 STUDY_OF_TYPE = (
@@ -136,7 +137,7 @@ def vocabulary(edges: DataFrame) -> DataFrame:
     raw = edges.filter("target_type = 'phenotype'").select(F.trim("target_name").alias("surface")).filter("surface <> ''").groupBy("surface").count()
     keyed = raw.withColumn("key", text.folded(F.col("surface"))).filter("key <> ''")
     best = keyed.groupBy("key").agg(F.max(F.struct("count", "surface")).alias("x"), F.sum("count").alias("count"))
-    return best.select(F.col("x.surface").alias("name"), "count").withColumn("ord", F.row_number().over(Window.orderBy(F.desc("count"), "name")))
+    return numbered(best.select(F.col("x.surface").alias("name"), "count"), "ord", F.desc("count"), F.col("name"))
 
 
 def batch_summary(results: DataFrame) -> DataFrame:

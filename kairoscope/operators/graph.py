@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kairoscope.functions import ages, scores, text
 from kairoscope.operators import matching
+from kairoscope.operators.ranks import numbered
 from kairoscope.storage import stored
 
 
@@ -82,8 +83,8 @@ def ranked(edges: DataFrame, most: int | None = None) -> DataFrame:
     """Edges with score and rank: half credibility, three tenths consensus, two tenths grade; ties by edge_id."""
     e = F.col("evidence")
     scored = edges.withColumn("score", scores.rerank(e["credibility_score"], e["consensus_confidence"], F.col("quality_grade")))
-    out = scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "edge_id"))) if most is None else scored.orderBy(F.desc("score"), "edge_id").limit(most).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "edge_id")))
-    return out
+    order = F.desc("score"), F.col("edge_id")
+    return numbered(scored, "rank", *order) if most is None else scored.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def cited(edges: DataFrame) -> DataFrame:
@@ -157,8 +158,8 @@ def chains(edges: DataFrame) -> DataFrame:
 def integer_ids(edges: DataFrame, seed: int = 42) -> DataFrame:
     """Distinct (head, relation, tail) with dense ids by name and a split of 80/10/10 by hash."""
     distinct = edges.select(F.col("source_name").alias("head"), "relation", F.col("target_name").alias("tail")).distinct()
-    entity = distinct.select(F.explode(F.array("head", "tail")).alias("name")).distinct().withColumn("id", F.row_number().over(Window.orderBy("name")) - 1)
-    relation = distinct.select("relation").distinct().withColumn("relation_id", F.row_number().over(Window.orderBy("relation")) - 1)
+    entity = numbered(distinct.select(F.explode(F.array("head", "tail")).alias("name")).distinct(), "id", "name").withColumn("id", F.col("id") - 1)
+    relation = numbered(distinct.select("relation").distinct(), "relation_id", "relation").withColumn("relation_id", F.col("relation_id") - 1)
     place = F.pmod(F.xxhash64("head", "relation", "tail", F.lit(seed)), F.lit(10))
     joined = distinct.join(entity.select(F.col("name").alias("head"), F.col("id").alias("head_id")), "head").join(entity.select(F.col("name").alias("tail"), F.col("id").alias("tail_id")), "tail").join(relation, "relation")
     return joined.withColumn("split", F.when(place < 8, "train").when(place < 9, "valid").otherwise("test"))
