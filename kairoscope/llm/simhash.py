@@ -5,9 +5,9 @@ bits, and documents of linked fingerprints, at any number of steps, are one comp
 
 Collision search, over distinct fingerprints only (a third of all rows may share one), in two shuffles on variants:
 
-1. Half balls. A pair within 3 bits differs by at most one bit in its upper or its lower 32 bits. Every fingerprint emits,
-   for each half, the variants within half the radius (one bit); by parity it is enough that halves with an odd number
-   of bits emit their 33 variants and the others only themselves. A fingerprint that shares no variant links to nothing.
+1. Partial balls. Of three blocks of bits, a pair within 3 bits differs by at most two bits in the two blocks (42 or 43
+   bits) that differ least. For each two blocks every fingerprint emits the variants within half of that, one bit: 131
+   variants in all. A fingerprint that shares no variant links to nothing; chance meetings in so many bits are rare.
 2. Full balls, for those that share one. Parities again: fingerprints with an even number of bits emit the 65 variants
    within one bit; odd ones these and the two-bit variants whose bits lie in the same half (of three differing bits two
    do). Any pair within 3 bits meets in a variant, and all that meet there lie within 3 bits of the bucket's centre: of
@@ -89,13 +89,21 @@ def _odd(value: Column) -> Column:
     return F.bit_count(value) % 2 == 1
 
 
+def _partial() -> list[tuple[int, int]]:
+    """(bits kept, bits flipped and marked) of the variants over each two of three blocks; the block left out is marked with its number."""
+    blocks, out = ((0, 21), (21, 42), (42, 64)), []
+    for number, (low, high) in enumerate(blocks, 1):
+        kept = (1 << 64) - 1 & ~((1 << high) - (1 << low))
+        out += [(_signed(kept), _signed(flip | number << low)) for flip in (0, *(1 << i for i in range(64) if not low <= i < high))]
+    return out
+
+
 def _sharing(distinct: DataFrame) -> DataFrame:
-    """The fingerprints that share a half variant with another one."""
-    around, alone = F.lit([0, *(1 << i for i in range(32))]), F.lit([0])
-    halves = distinct.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("h"), F.shiftrightunsigned("fp", 32).alias("x")), F.struct(F.lit(1).alias("h"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("x")))).alias("p"))
-    emitted = halves.select("fp", F.col("p.h").alias("h"), F.col("p.x").alias("x"), F.explode(F.when(_odd(F.col("p.x")), around).otherwise(alone)).alias("m"))
+    """The fingerprints that share a partial variant with another one."""
+    variants = F.array(*[F.struct(F.lit(kept).cast("long").alias("kept"), F.lit(flip).cast("long").alias("flip")) for kept, flip in _partial()])
+    emitted = distinct.select("fp", F.explode(variants).alias("v"))
+    keyed = emitted.select("fp", F.col("fp").bitwiseAND(F.col("v.kept")).bitwiseXOR(F.col("v.flip")).alias("key"))
     by = Window.partitionBy("key")
-    keyed = emitted.select("fp", F.col("x").bitwiseXOR(F.col("m")).bitwiseXOR(F.shiftleft(F.col("h").cast("long"), 32)).alias("key"))
     return keyed.withColumns({"low": F.min("fp").over(by), "high": F.max("fp").over(by)}).filter("low <> high").select("fp").distinct()
 
 
