@@ -12,7 +12,7 @@ from kairoscope.sources import sinks
 
 RAW_SQL = f"""
 SELECT l_partkey::VARCHAR AS s, {t.RELATION_SQL} AS r, l_suppkey::VARCHAR AS o, l_discount * 10 AS c, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity - 2 END AS a,
-       l_quantity + 100 * l_tax - 3 AS b, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate FROM lineitem"""
+       l_quantity + 100 * l_tax - 3 AS b, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate FROM lineitem"""
 REASON_SQL = "CASE WHEN length(s) < 2 OR length(o) < 2 THEN 'entity_too_short' WHEN c < 0.3 THEN 'low_confidence' WHEN a > b THEN 'temporal_age_inverted' WHEN (b IS NOT NULL AND a < 0) OR (a IS NOT NULL AND b > 120) THEN 'temporal_age_implausible' WHEN s = o THEN 'self_referencing' END"
 EDGE_SQL = f"""
 SELECT {t.ID_SQL} AS edge_id, l_partkey, l_suppkey, {t.RELATION_SQL} AS relation, l_shipdate::DATE AS d, l_discount, l_tax, l_quantity, l_linestatus, l_returnflag,

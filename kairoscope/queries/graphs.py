@@ -12,7 +12,7 @@ from kairoscope.queries import tables as t
 
 def named(spark: SparkSession, sf: str) -> DataFrame:
     li = t.table(spark, sf, "lineitem")
-    return li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source_name"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target_name"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge_id"), t.ord_().alias("ord"))
+    return li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source_name"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target_name"), t.edge_key().alias("edge_id"), t.ord_().alias("ord"))
 
 
 def khop(spark: SparkSession, sf: str) -> DataFrame:

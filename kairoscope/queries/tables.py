@@ -41,12 +41,16 @@ def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ord_() -> Column:
     """A number for each line item: order and line alone aren't unique in these tables."""
-    return ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")
+    return (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")) * 51 + F.col("l_quantity").cast("long")
+
+
+def edge_key() -> Column:
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"))
 
 
 #: The same in SQL, and the id of a line item's edge.
-ORD_SQL = "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey"
-ID_SQL = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+ORD_SQL = "(((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey) * 51 + l_quantity::BIGINT"
+ID_SQL = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT)"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +68,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.col("l_suppkey").cast("string")).alias("extraction_models"), F.lit("table").alias("extraction_method"), none("int").alias("citation_count"), F.lit(False).alias("is_retracted"), F.lit("").alias("evidence_text"),
     )
     return li.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge_id"), F.col("l_partkey").cast("string").alias("source_id"), F.lit("drug").alias("source_type"), F.concat(F.lit("part "), "l_partkey").alias("source_name"),
+        edge_key().alias("edge_id"), F.col("l_partkey").cast("string").alias("source_id"), F.lit("drug").alias("source_type"), F.concat(F.lit("part "), "l_partkey").alias("source_name"),
         relation(F.col("l_returnflag")).alias("relation"), F.col("l_suppkey").cast("string").alias("target_id"), F.lit("disease").alias("target_type"), F.concat(F.lit("supplier "), "l_suppkey").alias("target_name"),
         temporal.alias("temporal"), evidence.alias("evidence"), F.when(F.col("l_linestatus") == "O", "A").otherwise("B").alias("quality_grade"), F.col("l_partkey").cast("string").alias("disease_profile_id"), ord_().alias("ord"),
     )
