@@ -345,6 +345,16 @@ def test_line_dedup_group_of_near_copies(spark):
     assert found == brute_lines(list(enumerate(texts)))
 
 
+def test_line_dedup_large_bucket_of_many_clusters(spark, monkeypatch):
+    """One bucket of 120 clusters: every pair that shares it is verified, in blocks too."""
+    rng = random.Random(8)
+    bases = ["".join(rng.choice("abcdefghij ") for _ in range(80)) for _ in range(120)]
+    rows = [(k, t) for i, b in enumerate(bases) for k, t in ((1000 + i, b), (5000 - i, b + "x"))]
+    monkeypatch.setattr(line_dedup, "BLOCK", 50, raising=False)
+    found = spark.createDataFrame([(k, t, [(9, 1000, 5000)]) for k, t in rows], "k long, line string, buckets array<struct<key: long, low: long, high: long>>")
+    assert {(r["node"], r["root"]) for r in line_dedup.linked(found).collect()} == {(5000 - i, 1000 + i) for i in range(120)}
+
+
 def test_warc_round_trip(spark, nothing):
     rows = [(1, "http://a/é b", "<p>x"), (2, None, "<p>x"), (None, "http://n", "<p>x"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "ü" * 70_000), (2, None, "<p>x"), (6, "u", "WARC/1.1\r\n\r\n")]
     pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, digest string, payload int")
