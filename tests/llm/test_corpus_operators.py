@@ -355,6 +355,12 @@ def test_line_dedup_large_bucket_of_many_clusters(spark, monkeypatch):
     assert {(r["node"], r["root"]) for r in line_dedup.linked(found).collect()} == {(5000 - i, 1000 + i) for i in range(120)}
 
 
+def test_line_dedup_bands_find_similar_pairs():
+    """At a similarity of 0.8 each minimum agrees with probability 0.8; 0.99 of such pairs share a band."""
+    agree = np.random.default_rng(1).random((100_000, line_dedup.SIGNATURE)) < 0.8
+    assert np.any([agree[:, own].all(axis=1) for own in line_dedup.bands()], axis=0).mean() >= 0.99
+
+
 def test_warc_round_trip(spark, nothing):
     rows = [(1, "http://a/é b", "<p>x"), (2, None, "<p>x"), (None, "http://n", "<p>x"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "ü" * 70_000), (2, None, "<p>x"), (6, "u", "WARC/1.1\r\n\r\n")]
     pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, digest string, payload int")
