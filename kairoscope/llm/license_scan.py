@@ -2,7 +2,7 @@
 
 A text is cut into sentences, twice: over paragraphs, whose lines run on, and within single lines, so that a notice
 between two lines of prose is a sentence of its own. Each sentence is normalised to its lower-case words and numbers and
-looked up among the known licence sentences, which gives the text a sequence of identifiers with their places. Ordered
+looked up among the known licence sentences (those that hold a place to cut are known by their parts, in a row), which gives the text a sequence of identifiers with their places. Ordered
 rules then match runs of that sequence: the longest full texts first, notices last; identifiers that a rule has used are
 used up. Copyright lines and SPDX tags are recognised by how they begin.
 
@@ -97,6 +97,32 @@ def known() -> dict[str, str]:
     return {normalised(s): i for s, i in spelled()}
 
 
+@lru_cache(maxsize=1)
+def pieced() -> tuple[dict[tuple[str, ...], str], frozenset[str]]:
+    """Known sentences that END cuts: their normalised parts -> identifier, most parts first; and all the parts."""
+    cut = {tuple(normalised(x) for x in END.split(s)): i for s, i in spelled()}
+    cut = {parts: i for parts, i in sorted(cut.items(), key=lambda x: -len(x[0])) if len(parts) > 1}
+    return cut, frozenset(x for parts in cut for x in parts)
+
+
+def whole(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The items, with each run of all the parts of a sentence as one item; other parts go."""
+    out, i, names = [], 0, [name for _, _, name in found]
+    while i < len(found):
+        if not names[i].startswith("part:"):
+            out.append(found[i])
+            i += 1
+            continue
+        for parts, name in pieced()[0].items():
+            if all(a == f"part:{b}" for a, b in zip(names[i : i + len(parts)], parts)) and i + len(parts) <= len(names):
+                out.append((found[i][0], found[i + len(parts) - 1][1], name))
+                i += len(parts)
+                break
+        else:
+            i += 1
+    return out
+
+
 def sentences(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, sentence) over paragraphs, then within lines."""
     for whole, flat in ((text, True), (text, False)):
@@ -126,12 +152,14 @@ def identified(text: str) -> list[tuple[int, int, str]]:
         name = dictionary.get(words)
         if name is None and words.startswith("copyright"):
             name = "copyright"
+        if name is None and words in pieced()[1]:
+            name = f"part:{words}"
         if name is not None:
             lead = len(part) - len(part.lstrip())
             found.setdefault(start + lead, (start + lead, start + len(part.rstrip()), name))
     for m in SPDX.finditer(text):
         found[m.start()] = (m.start(), m.end(), f"notice:{m[1]}")
-    return [found[k] for k in sorted(found)]
+    return whole([found[k] for k in sorted(found)])
 
 
 def licences(items: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:

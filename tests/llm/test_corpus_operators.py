@@ -188,6 +188,16 @@ def test_license_rules(spark, awkward, nothing):
     assert license_scan.scan(nothing).count() == 0
 
 
+def test_license_rules_match_their_own_texts():
+    s = license_scan.SENTENCES | {"copyright": "Copyright 2020 A."}
+    for i, text in license_scan.SENTENCES.items():
+        assert [x[2] for x in license_scan.scan_text(text)[0]] == [i]
+    for licence, run in license_scan.RULES:
+        for between in (" ", "\n", "\n\n"):
+            assert [x[2] for x in license_scan.scan_text(between.join(s[i] for i in run))[1]] == [licence], (licence, run)
+    assert license_scan.scan_text("This program is free software: licence 2.0.")[0] == []
+
+
 def test_license_notices_are_found(documents):
     found = {r["doc_id"]: r["licences"] for r in license_scan.digest(license_scan.scan(documents)).collect()}
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
