@@ -6,7 +6,7 @@ looked up among the known licence sentences (those that hold a place to cut are
 rules then match runs of that sequence: the longest full texts first, notices last; identifiers that a rule has used are
 used up. Copyright lines and SPDX tags are recognised by how they begin.
 
-Only texts that hold one of KEYS are cut at all; every known sentence holds one, which the tests check, so nothing is
+Only texts that hold one of KEYS, whatever stands between its words, are cut at all; every known sentence holds one, which the tests check, so nothing is
 missed by it.
 
 Defined results: null, empty and blank texts have no licence; repeated rows get the same result; an empty table gives an
@@ -75,6 +75,8 @@ RULES = (
 )
 #: One of these is in every known sentence, in some case.
 KEYS = ("licen", "copyright", "redistribut", "warrant", "spdx", "permission", "rights reserved", "public domain", "gplv", "apache", "free software", " mit", "cc by", "cc0", "free and unencumbered")
+#: KEYS as they are in texts, where anything but letters and digits may stand between words.
+KEY = re.compile("|".join(re.sub("^ ", "(?<![a-z0-9])", k).replace(" ", "[^a-z0-9]+") for k in KEYS))
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)")
 END = re.compile(r"(?<=[.!?:;])\s+|\n\s*\n|\n(?=\s*(?:\d+[.)]|[*-])\s)")
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -183,8 +185,7 @@ def licences(items: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 def scan_text(text: str | None) -> tuple[list, list]:
     if not text:
         return [], []
-    low = text.lower()
-    if not any(k in low for k in KEYS):
+    if not KEY.search(text.lower()):
         return [], []
     items = identified(text)
     return items, licences(items)

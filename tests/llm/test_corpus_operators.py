@@ -198,6 +198,15 @@ def test_license_rules_match_their_own_texts():
     assert license_scan.scan_text("This program is free software: licence 2.0.")[0] == []
 
 
+def test_license_spellings_pass_the_keys():
+    names = lambda t: [x[2] for x in license_scan.scan_text(t)[1]]
+    assert names("Released under CC-BY-SA 4.0.") == ["CC-BY-SA-4.0"] and names("Available under CC-BY 4.0.") == ["CC-BY-4.0"]
+    assert all(names(f"Released under{x}MIT.") == ["MIT"] for x in ("\n", "\t", ' "', " ("))
+    for text, name in license_scan.spelled():
+        for gap in ("\n", "\t", "  "):
+            assert name in [x[2] for x in license_scan.scan_text(text.replace(" ", gap, 5))[0]]
+
+
 def test_license_notices_are_found(documents):
     found = {r["doc_id"]: r["licences"] for r in license_scan.digest(license_scan.scan(documents)).collect()}
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
