@@ -7,7 +7,8 @@ largest page_id is a response and the others are revisits that refer to it.
 
 Reading: members and records are checked (gzip CRC, version line, Content-Length, closing blank lines, block digest).
 After a failed check the reader looks for the next member or version line that reads well, goes on there and logs the
-bytes between as a quarantined gap, so that one damaged record costs that record alone.
+bytes between as a quarantined gap, so that one damaged record costs that record alone. In a damaged member of several records
+it looks for version lines in what could be inflated, and logs the inner gaps with the member's place.
 
 Defined results: a null html is an empty payload; a null url is left out; a null page_id gets a record of its own whose
 page_id reads as null; rows repeated with the largest page_id are all responses; an empty table writes and reads no
@@ -171,6 +172,68 @@ def read_at(data: bytes, view: memoryview, at: int) -> tuple[list[tuple[dict, by
     return found, end
 
 
+def inflated(data: memoryview, at: int) -> tuple[bytes, int | None]:
+    """What a damaged gzip member gives before its fault, and where it ends, if that is known."""
+    unpacker, parts, end = zlib.decompressobj(31), [], at
+    try:
+        while not unpacker.eof and end < len(data):
+            piece, before = data[end : end + CHUNK], unpacker.copy()
+            try:
+                parts.append(unpacker.decompress(piece))
+            except zlib.error:
+                for i in range(len(piece)):
+                    parts.append(before.decompress(piece[i : i + 1]))
+            end += len(piece)
+    except zlib.error:
+        return b"".join(parts), None
+    return b"".join(parts), end - len(unpacker.unused_data) if unpacker.eof else None
+
+
+def inside(view: memoryview, at: int) -> tuple[list[tuple], int | None]:
+    """("record", headers, block) and ("gap", reason) of a damaged member, and where it ends, if known.
+
+    None if no record is good, or if one record is all there is: that member's own check counts against it.
+    """
+    if view[at : at + 3] != GZIP:
+        return [], None
+    inner, end = inflated(view, at)
+    items, own = [], 0
+    while own < len(inner):
+        try:
+            headers, block, own = parse(inner, own)
+            items.append(("record", headers, block))
+        except ValueError as fault:
+            begin = own
+            while (own := inner.find(VERSION, own + 1)) >= 0:
+                try:
+                    parse(inner, own)
+                    break
+                except ValueError:
+                    continue
+            own = len(inner) if own < 0 else own
+            items.append(("gap", f"{fault}: bytes {begin} to {own} of the inflated member"))
+    return (items, end) if len(items) > 1 and any(kind == "record" for kind, *_ in items) else ([], None)
+
+
+def following(data: bytes, view: memoryview, at: int, known: list[tuple]) -> int:
+    """The next position after this one that reads well, or of a damaged member that holds a good record.
+
+    Stored blocks of a member show its records as they are: known ones are passed over.
+    """
+    end = at
+    while True:
+        ahead = [p for mark in (GZIP, VERSION) if (p := data.find(mark, end + 1)) >= 0]
+        end = min(ahead, default=len(data))
+        if end == len(data):
+            return end
+        try:
+            if not all(x in known for x in read_at(data, view, end)[0]):
+                return end
+        except (ValueError, zlib.error):
+            if inside(view, end)[0]:
+                return end
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
     """("record", position, end, headers, block) and ("gap", position, end, reason), in order; they cover every byte."""
     view, at = memoryview(data), 0
@@ -178,18 +241,13 @@ def salvage(data: bytes) -> Iterator[tuple]:
         try:
             found, end = read_at(data, view, at)
         except (ValueError, zlib.error) as fault:
-            reason, end = str(fault), at
-            while True:  # the next position that reads well
-                ahead = [p for mark in (GZIP, VERSION) if (p := data.find(mark, end + 1)) >= 0]
-                end = min(ahead, default=len(data))
-                if end == len(data):
-                    break
-                try:
-                    read_at(data, view, end)
-                    break
-                except (ValueError, zlib.error):
-                    continue
-            yield "gap", at, end, reason
+            items, end = inside(view, at)
+            cut = end is None
+            end = following(data, view, at, [tuple(x) for kind, *x in items if kind == "record"]) if cut else end
+            for kind, *rest in items:
+                yield kind, at, end, *rest
+            if cut:
+                yield "gap", at, end, str(fault)
         else:
             for headers, block in found:
                 yield "record", at, end, headers, block

@@ -412,6 +412,28 @@ def test_warc_salvage(packed):
     assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+@pytest.mark.parametrize("harm", ["inner", "crc", "cut", "flip"])
+def test_warc_salvage_inside_a_member(harm):
+    rng = random.Random(3)
+    records = [warc.encode_record(i, None, bytes(rng.randrange(256) for _ in range(3000))) for i in range(10)]
+    plain = bytearray(b"".join(records))
+    if harm == "inner":
+        plain[len(records[0]) * 4 + len(records[0]) // 2] ^= 0xFF
+    many = bytearray(warc.member(bytes(plain)))
+    if harm == "crc":
+        many[-6] ^= 0xFF
+    elif harm == "cut":
+        many = many[: len(many) * 3 // 4]
+    elif harm == "flip":
+        many[len(many) // 2] ^= 0xFF
+    data = bytes(many) + warc.member(warc.encode_record(10, None, b"last"))
+    items = list(warc.salvage(data))
+    good = [int(i[3]["warc-record-id"].rsplit(":", 1)[1][:-1]) for i in items if i[0] == "record"]
+    assert good[-1] == 10 and any(i[0] == "gap" for i in items) and len(set(good)) == len(good)
+    least = {"inner": {0, 1, 2, 3, 5, 6, 7, 8, 9}, "crc": set(range(10)), "cut": set(range(6)), "flip": set(range(4))}[harm]
+    assert least <= set(good)
+
+
 def test_pipeline_stages(spark, documents, awkward, nothing, duck):
     kept = {r["doc_id"] for r in quality.measure(documents).filter("kept").collect()}
     stages = dict(corpus_pipeline.STAGES)
