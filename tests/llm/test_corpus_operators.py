@@ -370,16 +370,55 @@ def test_line_dedup_large_bucket_of_many_clusters(spark, monkeypatch):
     bases = ["".join(rng.choice("abcdefghij ") for _ in range(80)) for _ in range(120)]
     rows = [(k, t) for i, b in enumerate(bases) for k, t in ((1000 + i, b), (5000 - i, b + "x"))]
     monkeypatch.setattr(line_dedup, "BLOCK", 50, raising=False)
-    found = spark.createDataFrame([(k, t, [(9, 1000, 5000)]) for k, t in rows], "k long, line string, buckets array<struct<key: long, low: long, high: long>>")
+    found = spark.createDataFrame([(k, t, [(9, 1000)]) for k, t in rows], "k long, line string, buckets array<struct<key: long, low: long>>")
     assert {(r["node"], r["root"]) for r in line_dedup.linked(found).collect()} == {(5000 - i, 1000 + i) for i in range(120)}
 
 
 def test_line_dedup_bands_find_similar_pairs():
     """At a similarity of 0.8 each minimum agrees with probability 0.8; 0.99 of such pairs share a band."""
-    agree = np.random.default_rng(1).random((100_000, line_dedup.SIGNATURE)) < 0.8
+    agree = np.random.default_rng(1).random((100_000, line_dedup.BINS)) < 0.8
     assert np.any([agree[:, own].all(axis=1) for own in line_dedup.bands()], axis=0).mean() >= 0.99
 
 
+def near_copies(rng, length):
+    """A text of this length, a copy with few edits, and their similarity."""
+    text = "".join(rng.choice("abcdefghijklmnopqr ") for _ in range(length))
+    other = text
+    for _ in range(rng.randint(1, 1 + length // 60)):
+        p = rng.randrange(len(other))
+        other = other[:p] + rng.choice(["", "x", "yz"]) + other[p + rng.randint(0, 1) :]
+    a, b = ({t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in (text, other))
+    return text, other, len(a & b) / len(a | b)
+
+
+def test_line_dedup_keys_find_real_pairs():
+    """Signatures of one permutation, with bins that short lines leave empty, find pairs of 0.8 to 0.9 as the bands promise."""
+    rng = random.Random(12)
+    pairs = [x for _ in range(9000) for x in [near_copies(rng, rng.choice((8, 25, 45, 70, 150, 400)))] if 0.8 <= x[2] < 0.9]
+    left, right = (line_dedup.keys(line_dedup.signatures([x[i] for x in pairs])) for i in (0, 1))
+    assert len(pairs) > 1500 and (left == right).any(axis=1).mean() >= 0.99
+
+
+def test_line_dedup_likeness_is_exact():
+    rng = random.Random(13)
+    rows = [near_copies(rng, rng.choice((1, 3, 5, 9, 60, 3000))) for _ in range(3000)] + [("é", "é", 1.0), ("漢字 😀 abc", "漢字 😀 abc", 1.0), ("aaaaaaa", "aaaaa", 1.0), ("ab", "abc", 0.0)]
+    assert np.allclose(line_dedup.likeness([r[0] for r in rows], [r[1] for r in rows]), [r[2] for r in rows])
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_line_dedup_buckets_across_batches(size):
+    import pyarrow as pa
+
+    rng = random.Random(size)
+    rows = sorted({(rng.choice([rng.randrange(200), 7]), rng.randrange(10_000)) for _ in range(500)})
+    batches = [pa.RecordBatch.from_pylist([{"key": a, "k": b} for a, b in rows[i : i + size]]) for i in range(0, len(rows), size)]
+    found = [(r["key"], r["k"], r["low"]) for b in line_dedup.shared(iter(batches)) for r in b.to_pylist()]
+    members = defaultdict(list)
+    for key, k in rows:
+        members[key].append(k)
+    assert found == [(key, k, ks[0]) for key, ks in sorted(members.items()) if len(ks) > 1 for k in ks]
+
+
 def test_warc_round_trip(spark, nothing):
     rows = [(1, "http://a/é b", "<p>x"), (2, None, "<p>x"), (None, "http://n", "<p>x"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "ü" * 70_000), (2, None, "<p>x"), (6, "u", "WARC/1.1\r\n\r\n")]
     pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, digest string, payload int")
