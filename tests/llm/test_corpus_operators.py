@@ -171,7 +171,6 @@ def test_simhash_links_are_complete(spark):
 
 
 def test_license_rules(spark, awkward, nothing):
-    assert all(any(k in s.lower() for k in license_scan.KEYS) for s, _ in license_scan.spelled())
     s = license_scan.SENTENCES
     mit = f"Copyright (c) 2020 A\n\n{s['mit-grant'].replace(' to use', chr(10) + 'to use')}\n\n{s['mit-notice']}\n\n{s['mit-warranty']}"
     bsd = f"{s['bsd-redistribution']}\n\n1. {s['bsd-source']}\n2. {s['bsd-binary']}\n"
@@ -188,23 +187,72 @@ def test_license_rules(spark, awkward, nothing):
     assert license_scan.scan(nothing).count() == 0
 
 
+def dressed(text):
+    """Ways to write a licence sentence: wrapped, padded, commented, shouted."""
+    words = text.split(" ")
+    wrapped = [" ".join(words[i : i + 7]) for i in range(0, len(words), 7)]
+    yield text
+    yield text.upper()
+    yield text.replace(" ", " " * 700)
+    for lead in ("", "# ", "// ", " * ", "> ", ";; ", "  "):
+        yield "\n".join(lead + x for x in wrapped)
+    yield "/*\n" + "\n".join(f" * {x}" for x in wrapped) + "\n */"
+    yield "some prose before it\n" + text + "\nand after"
+    yield f"Some prose before it. {text}{'' if text[-1] in '.:' else '.'} And after."
+
+
+def test_license_sentences_are_recognised_however_written():
+    for text, name in license_scan.spelled():
+        for form in dressed(text):
+            assert name in [x[2] for x in license_scan.scan_text(form)[0]], (name, form[:200])
+        assert not [x for x in license_scan.scan_text("prefix " + text)[0] if x[2] == name or x[2].startswith("notice")]
+
+
 def test_license_rules_match_their_own_texts():
-    s = license_scan.SENTENCES | {"copyright": "Copyright 2020 A."}
-    for i, text in license_scan.SENTENCES.items():
-        assert [x[2] for x in license_scan.scan_text(text)[0]] == [i]
+    by = {i: s for s, i in license_scan.spelled()} | {"copyright": "Copyright 2020 A."}
     for licence, run in license_scan.RULES:
-        for between in (" ", "\n", "\n\n"):
-            assert [x[2] for x in license_scan.scan_text(between.join(s[i] for i in run))[1]] == [licence], (licence, run)
+        for between in (" ", "\n", "\n\n", "\n#\n# ", "\n * "):
+            text = between.join(by[i] + ("" if by[i][-1] in ".:" else ".") for i in run)
+            assert [x[2] for x in license_scan.scan_text(text)[1]] == [licence], (licence, run, between)
     assert license_scan.scan_text("This program is free software: licence 2.0.")[0] == []
+    assert license_scan.scan_text("Copyright law is a difficult subject. All rights reserved.")[1] == []
+
+
+def brute_sentences(text):
+    """Identifiers by trying every run of words from the start of a sentence to the end of one, longest first."""
+    tokens, known_ = [], {tuple(license_scan.words_of(s)): i for s, i in license_scan.spelled()}
+    most = max(map(len, known_))
+    for sentence in __import__("re").split(r"(?<=[.!?:;])\s+|\n", text):
+        words = license_scan.words_of(sentence)
+        tokens += [(w, i == 0, i == len(words) - 1) for i, w in enumerate(words)]
+    out, i = [], 0
+    while i < len(tokens):
+        hit = None
+        if tokens[i][1]:
+            hit = next((j for j in range(min(len(tokens), i + most), i, -1) if tokens[j - 1][2] and tuple(t[0] for t in tokens[i:j]) in known_), None)
+        if hit:
+            out.append(known_[tuple(t[0] for t in tokens[i:hit])])
+        i = hit or i + 1
+    return out
+
+
+def test_license_scan_against_brute_force():
+    rng, spelled = random.Random(6), license_scan.spelled()
+    for _ in range(150):
+        pieces = [rng.choice([rng.choice(spelled)[0], " ".join(rng.choice(spelled)[0].split()[: rng.randint(1, 6)]), "words of prose", "licence"]) for _ in range(rng.randint(1, 9))]
+        text = "".join(p + rng.choice([". ", ".\n", "\n", " ", "; ", "\n\n"]) for p in pieces)
+        assert [x[2] for x in license_scan.identified(text)] == brute_sentences(text), text
 
 
 def test_license_spellings_pass_the_keys():
     names = lambda t: [x[2] for x in license_scan.scan_text(t)[1]]
     assert names("Released under CC-BY-SA 4.0.") == ["CC-BY-SA-4.0"] and names("Available under CC-BY 4.0.") == ["CC-BY-4.0"]
     assert all(names(f"Released under{x}MIT.") == ["MIT"] for x in ("\n", "\t", ' "', " ("))
-    for text, name in license_scan.spelled():
-        for gap in ("\n", "\t", "  "):
-            assert name in [x[2] for x in license_scan.scan_text(text.replace(" ", gap, 5))[0]]
+    assert all(license_scan.KEY.search(s.lower()) for s, _ in spelled_out())
+
+
+def spelled_out():
+    return [(s.replace(" ", gap, 5), i) for s, i in license_scan.spelled() for gap in ("\n", "\t", "  ", "\n# ")]
 
 
 def test_license_notices_are_found(documents):
@@ -370,8 +418,8 @@ def test_line_dedup_large_bucket_of_many_clusters(spark, monkeypatch):
     bases = ["".join(rng.choice("abcdefghij ") for _ in range(80)) for _ in range(120)]
     rows = [(k, t) for i, b in enumerate(bases) for k, t in ((1000 + i, b), (5000 - i, b + "x"))]
     monkeypatch.setattr(line_dedup, "BLOCK", 50, raising=False)
-    found = spark.createDataFrame([(k, t, [(9, 1000)]) for k, t in rows], "k long, line string, buckets array<struct<key: long, low: long>>")
-    assert {(r["node"], r["root"]) for r in line_dedup.linked(found).collect()} == {(5000 - i, 1000 + i) for i in range(120)}
+    found = spark.createDataFrame([(k, None, 9) for k, _ in rows], "a long, b long, key long")
+    assert {(r["node"], r["root"]) for r in line_dedup.linked(found, spark.createDataFrame(rows, "k long, line string")).collect()} == {(5000 - i, 1000 + i) for i in range(120)}
 
 
 def test_line_dedup_bands_find_similar_pairs():
@@ -405,18 +453,62 @@ def test_line_dedup_likeness_is_exact():
     assert np.allclose(line_dedup.likeness([r[0] for r in rows], [r[1] for r in rows]), [r[2] for r in rows])
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
-def test_line_dedup_buckets_across_batches(size):
+def test_line_dedup_blocks_are_exact(monkeypatch):
+    rng = random.Random(14)
+    texts = [x for _ in range(40) for x in near_copies(rng, rng.choice((3, 40, 90)))[:2]]
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    wanted = [[len(a & b) / len(a | b) for b in sets] for a in sets]
+    monkeypatch.setattr(line_dedup, "COLUMNS", 64)
+    monkeypatch.setattr(line_dedup, "PAIRS", 33)
+    found = line_dedup.likenesses(texts)
+    off = ~np.eye(len(texts), dtype=bool)
+    assert np.allclose(found[off], np.array(wanted)[off])
+    k = np.arange(len(texts))
+    links = line_dedup.linked_block(k, k, k * 0, texts)
+    pairs = [(a, b) for a in k for b in range(a) if wanted[a][b] >= line_dedup.LEAST]
+    assert union_find(k, links) == union_find(k, pairs) and len(links) < len(texts)
+    assert all(a % 2 != b % 2 for a, b in line_dedup.linked_block(k, k, k % 2, texts))
+
+
+@pytest.mark.parametrize(("size", "most"), [(1, 1000), (7, 1000), (40, 30), (7, 60), (1000, 10)])
+def test_line_dedup_buckets_in_blocks(size, most, monkeypatch):
     import pyarrow as pa
 
     rng = random.Random(size)
-    rows = sorted({(rng.choice([rng.randrange(200), 7]), rng.randrange(10_000)) for _ in range(500)})
-    batches = [pa.RecordBatch.from_pylist([{"key": a, "k": b} for a, b in rows[i : i + size]]) for i in range(0, len(rows), size)]
-    found = [(r["key"], r["k"], r["low"]) for b in line_dedup.shared(iter(batches)) for r in b.to_pylist()]
+    rows = list({(rng.choice([rng.randrange(150), 7, 8]), rng.randrange(10_000)) for _ in range(500)})
+    blocks = [(t, np.array([(key, k, 0) for key, k in rows[i : i + size] if key % 3 == t], dtype=np.int64)) for t in range(3) for i in range(0, len(rows), size)]
+    batches = [pa.RecordBatch.from_pylist([{"target": t, "rows": x.tobytes()}]) for t, x in blocks if len(x)]
+    monkeypatch.setattr(line_dedup, "HELD", most)
+    found = [(r["key"], r["a"], r["b"]) for b in line_dedup.shared(iter(batches)) for r in b.to_pylist()]
     members = defaultdict(list)
     for key, k in rows:
         members[key].append(k)
-    assert found == [(key, k, ks[0]) for key, ks in sorted(members.items()) if len(ks) > 1 for k in ks]
+    pairs = {(None, a, b) for ks in members.values() if len(ks) <= line_dedup.SMALL for b in ks for a in ks if a < b}
+    assert {x for x in found if x[0] is None} == pairs
+    for key, ks in members.items():
+        own = [x for x in found if x[0] == key]
+        assert sorted(x[1] for x in own) == (sorted(ks) if len(ks) > line_dedup.SMALL else [])
+        assert not own or len({x[2] for x in own if x[2] is not None}) == 1 and sum(x[2] is None for x in own) == 1
+
+
+def test_line_dedup_blocks_hold_every_band(monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"line number {i} of many, and some words" for i in range(300)] * 2
+    monkeypatch.setattr(line_dedup, "HELD", 500)
+    batches = [pa.RecordBatch.from_pylist([{"k": i % 300, "line": x} for i, x in enumerate(texts)][j : j + 70]) for j in range(0, 600, 70)]
+    rows = [x for b in line_dedup.keyed(iter(batches), 7) for r in b.to_pylist() for x in np.frombuffer(r["rows"], dtype=np.int64).reshape(-1, 3).tolist() if (x[0] % 2**64 >> 32) % 7 == r["target"]]
+    wanted = line_dedup.keys(line_dedup.signatures(texts[:300]))
+    assert sorted((x[1], x[0]) for x in rows) == sorted((i, int(key)) for i in range(300) for key in wanted[i])
+
+
+def test_line_dedup_sketches_keep_similar_pairs():
+    rng = random.Random(15)
+    pairs = [x for _ in range(6000) for x in [near_copies(rng, rng.choice((8, 20, 25, 45, 70, 125, 150, 400)))] if x[2] >= 0.8]
+    left, right = (line_dedup.sketches(line_dedup.signatures([x[i] for x in pairs]), [x[i] for x in pairs]) for i in (0, 1))
+    assert len(pairs) > 2500 and line_dedup.near(left, right).mean() > 0.999
+    other = np.roll(right, 1)
+    assert line_dedup.near(left, other).mean() < 0.6
 
 
 def test_warc_round_trip(spark, nothing):
