@@ -104,6 +104,31 @@ def test_language_held_out(spark, documents, awkward, nothing):
     assert [r[0] for r in unlabelled] == ["und"]
 
 
+def test_language_prediction_is_the_nearest_centroid(spark, documents):
+    model = language_id.train(documents.filter(~language_id.held_out()))
+    found = {r["doc_id"]: r for r in language_id.predict(documents, model).collect()}
+    for r in documents.limit(60).collect():
+        kept = language_id.letters(r["text"])
+        if kept is None:
+            assert found[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        raw, v = kept.encode(), np.zeros(language_id.DIMS)
+        for n, mix in enumerate(language_id.MIX):
+            for i in range(len(raw) - n):
+                v[((int.from_bytes(raw[i : i + n + 1], "big") * mix + n) & 0xFFFFFFFF) >> 20] += 1
+        v *= model["idf"]
+        cosines = [float(c @ v) / np.sqrt(v @ v) / np.sqrt(float(c @ c)) for c in model["centres"].astype(float)]
+        assert found[r["doc_id"]]["lang_pred"] == model["langs"][int(np.argmax(cosines))] and abs(found[r["doc_id"]]["score"] - max(cosines)) < 1e-4
+
+
+def test_language_many_null_and_repeated_ids(spark):
+    words = {"en": "the house and river with some people", "de": "das haus und der fluss mit vielen leuten"}
+    rows = [(None if i % 2 else 7, f"{t} {i % 900}", lang) for lang, t in words.items() for i in range(2600)] + [(1, "le chat noir sur la table", "fr")] * 2000
+    found = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    right = found.groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"]: r["count"] for r in right} == {"en": 2600, "de": 2600, "fr": 2000}
+
+
 def test_language_counts_in_blocks():
     text = language_id.letters("the quick brown fox " * 20)
     whole = language_id.counts(text)
@@ -116,28 +141,69 @@ def test_language_counts_in_blocks():
     assert whole.sum() == 3 * n - 3
 
 
-def test_lm_scores(spark, documents, awkward, nothing):
+def test_lm_scores(spark, documents, awkward, nothing, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "KNOWN", 300)
     model = lm_scoring.train(documents)
     scored = {r["doc_id"]: r for r in lm_scoring.score(documents, model).collect()}
-    table, vocabulary = lm_scoring.log_probabilities(model["network"]), lm_scoring.Vocabulary(model["frequent"])
-    v = lm_scoring.CLASSES
-    assert np.allclose(np.exp(table.reshape(v, v, v)[3, :, 9]).sum(), 1, atol=1e-4)
-    for r in documents.limit(20).collect():
-        classes = [0, *(vocabulary[w] for w in r["text"].encode().lower().split()), 0]
-        total = sum(float(table[(classes[i - 1] * v + classes[i]) * v + classes[i + 1]]) for i in range(1, len(classes) - 1))
-        assert scored[r["doc_id"]]["n_tokens"] == len(classes) - 2
-        assert abs(scored[r["doc_id"]]["log_likelihood"] - total) < 1e-2
+    near, far = lm_scoring.NEAR, lm_scoring.FAR
+    table = lm_scoring.log_probabilities(model["network"]).reshape(far, near, near, near, far)
+    assert np.allclose(np.exp(table[3, 9, :, 4, 1]).sum(), 1, atol=1e-4)
     counts = Counter(w for r in documents.collect() for w in (r["text"] or "").encode().lower().split())
-    assert model["frequent"] == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: lm_scoring.FREQUENT]]
-    real = documents.filter(F.length("text") > 500).limit(40)
-    shuffled = real.withColumn("text", F.array_join(F.array_sort(F.split("text", " ")), " "))
-    mean = lambda d: lm_scoring.score(d, model).agg(F.avg("mean_log_likelihood")).first()[0]
-    assert mean(real) > mean(shuffled)
+    ranked = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    assert model["known"] == ranked[:300] and model["words"].count() == len(counts)
+    frequent = [w for w, _ in ranked[: lm_scoring.FREQUENT]]
+    class_ = {w: 1 + frequent.index(w) if w in frequent else 1 + lm_scoring.FREQUENT + zlib.crc32(w[-3:]) % lm_scoring.BUCKETS for w in counts}
+    sizes = Counter()
+    for w, n in counts.items():
+        sizes[class_[w]] += n
+    coarse = lambda c: 1 + c % (far - 1) if c else 0
+    for r in documents.limit(20).collect():
+        words = r["text"].encode().lower().split()
+        c = [0, 0, *(class_[w] for w in words), 0, 0]
+        total = sum(float(table[coarse(c[i]), c[i + 1], c[i + 2], c[i + 3], coarse(c[i + 4])]) + np.log(counts[w] / sizes[class_[w]]) for i, w in enumerate(words))
+        assert scored[r["doc_id"]]["n_tokens"] == len(words)
+        assert abs(scored[r["doc_id"]]["log_likelihood"] - total) < 1e-6 * abs(total) + 1e-2
+    real = documents.filter(F.length("text") > 500).limit(60)
+    words = [w for r in real.collect() for w in r["text"].split()]
+    random.Random(1).shuffle(words)  # of several languages
+    mixed = spark.createDataFrame([(0, " ".join(words))], "doc_id long, text string")
+    mean = lambda d: lm_scoring.score(d, model).agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0]
+    assert mean(real) > mean(mixed) + 0.05
     rows = {(r["doc_id"]): r for r in lm_scoring.score(awkward, lm_scoring.train(awkward)).collect()}
     assert rows[1]["n_tokens"] == 0 and rows[2]["log_likelihood"] == 0.0 and rows[3]["mean_log_likelihood"] is None and rows[4]["n_tokens"] == 120_001
+    assert lm_scoring.score(awkward, model).count() == 12  # words that the model hasn't seen
     assert lm_scoring.score(nothing, lm_scoring.train(nothing)).count() == 0
 
 
+def test_lm_gradient_and_training():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 4, (3, 5, 5, 5, 3)) * (rng.random((3, 5, 5, 5, 3)) < 0.3)
+    p = lm_scoring.start(counts)
+    loss, grad = lm_scoring.loss_and_gradient(p, counts)
+    by_hand = 0.0
+    for i, j, c, r, k in zip(*np.nonzero(counts), strict=True):
+        z = np.tanh(p["F"][i] + p["L"][j] + p["R"][r] + p["G"][k] + p["b"]) @ p["W"].T + p["o"]
+        by_hand -= counts[i, j, c, r, k] * (z[c] - np.log(np.exp(z).sum()))
+    assert np.isclose(loss, by_hand / counts.sum())
+    for name, x in p.items():
+        for at in [tuple(rng.integers(0, n) for n in x.shape) for _ in range(4)]:
+            moved = {k: v.copy() for k, v in p.items()}
+            moved[name][at] += 1e-6
+            assert np.isclose((lm_scoring.loss_and_gradient(moved, counts)[0] - loss) / 1e-6, grad[name][at], atol=1e-5)
+    assert lm_scoring.loss_and_gradient(lm_scoring.train_counts(counts), counts)[0] < loss - 0.05
+
+
+def test_lm_vocabulary_forgets(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "WORDS_KEPT", 3)
+    monkeypatch.setattr(lm_scoring, "KNOWN", 4)
+    v = lm_scoring.Vocabulary([(b"a", 9), (b"b", 7)], {lm_scoring.bucket(b"c"): 5})
+    own = lm_scoring.numbers(b"a b c d e f g h a", v)
+    assert list(own) == [0, 1, 2, 3, 4, 5, 6, 7, 0] and list(v.hashes[own] == 0) == [True, True, *[False] * 6, True]
+    assert int(v.hashes[2]) % 2**64 == xxhash.xxh64_intdigest(b"c", 42)
+    v = v.trimmed()
+    assert list(v) == [b"a", b"b"] and list(lm_scoring.numbers(b"a z b", v)) == [0, 2, 1] and v.hashes[0] == 0
+
+
 def test_simhash(documents, awkward, nothing):
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     prints = {d: naive_fingerprint(t) for d, t in texts.items()}
@@ -276,6 +342,18 @@ def test_top_k_awkward(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_in_blocks_and_repeated_queries(spark, duck, monkeypatch):
+    rng = random.Random(9)
+    rows = [(rng.choice([i, 40, 60]), [rng.uniform(-1, 1) for _ in range(6)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    duck.register("spread", table.toPandas())
+    wanted = duck.execute(topk.oracle_sql().replace("FROM embeddings", "FROM spread")).df()
+    monkeypatch.setattr(topk, "SHARD_ROWS", 90)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 4)
+    for parts in (1, 5):
+        assert rows_of(topk.top_k(table.repartition(parts), F.col("vec_id") % 20 == 0).toPandas()) == rows_of(wanted)
+
+
 def test_top_k_trees():
     rng = np.random.default_rng(3)
     points = np.floor(rng.normal(0, 20, (3000, 8)))
@@ -309,6 +387,33 @@ def test_mixing(awkward, nothing, documents):
     assert sorted(mixing.decide(documents.repartition(7)).collect()) == sorted(rows)
 
 
+def test_mixing_repeated_rows_at_the_boundary(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 7)
+    text = "w " * 60
+    rows = [(1, text, "a", i % 2) for i in range(50)] + [(1, text, "b", 0)] * 9 + [(i, "w " * (i % 40), "c", 0) for i in range(60)] + [(5, None, "a", 0), (6, "", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    decided = mixing.decide(docs).collect()
+    assert len(decided) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in decided)
+    by = defaultdict(list)
+    for r in decided:
+        by[(r["source_size"], r["target"])].append((r["taken"], r["size"]))
+    for (_, target), x in by.items():
+        assert abs(sum(t for t, _ in x) - target) <= max(s for _, s in x)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    plan = Counter()
+    for r in mixing.plan(docs).collect():
+        plan[(r["doc_id"], r["k"], r["size"])] += r["copies"] if r["size"] else 0
+    assert Counter((r["doc_id"], "s" + r["source"], len(r["text"].split())) for r in mixed.collect()) == Counter({x: n for x, n in plan.items() if n})
+    assert sorted(mixing.decide(docs.repartition(5)).collect()) == sorted(decided)
+
+
+def test_keep_one_of_rows_that_share_id_and_text(spark):
+    rows = [(1, PROSE, f"s{i % 3}") for i in range(30)] + [(2, PROSE, "a"), (3, "another text that has nothing in common with it at all", "b")] * 2
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3]
+
+
 def whole_tokenizer():
     from tokenizers import Tokenizer
 
@@ -460,13 +565,15 @@ def test_line_dedup_blocks_are_exact(monkeypatch):
     wanted = [[len(a & b) / len(a | b) for b in sets] for a in sets]
     monkeypatch.setattr(line_dedup, "COLUMNS", 64)
     monkeypatch.setattr(line_dedup, "PAIRS", 33)
-    found = line_dedup.likenesses(texts)
-    off = ~np.eye(len(texts), dtype=bool)
-    assert np.allclose(found[off], np.array(wanted)[off])
     k = np.arange(len(texts))
+    off = ~np.eye(len(texts), dtype=bool)
+    for some in (k, k[3:40:5]):
+        assert np.allclose(line_dedup.likenesses(texts, some)[off[some]], np.array(wanted)[some][off[some]])
     links = line_dedup.linked_block(k, k, k * 0, texts)
     pairs = [(a, b) for a in k for b in range(a) if wanted[a][b] >= line_dedup.LEAST]
     assert union_find(k, links) == union_find(k, pairs) and len(links) < len(texts)
+    root = np.array([min(i, 7) for i in k])  # a large component
+    assert union_find(root, [(root[a], root[b]) for a, b in line_dedup.linked_block(k, root, k * 0, texts)]) == union_find(root, [(root[a], root[b]) for a, b in pairs])
     assert all(a % 2 != b % 2 for a, b in line_dedup.linked_block(k, k, k % 2, texts))
 
 
@@ -565,6 +672,22 @@ def test_warc_salvage_inside_a_member(harm):
     assert least <= set(good)
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_warc_payloads_that_quote_records(packed):
+    quoted = warc.encode_record(99, None, b"quoted")
+    records = [warc.encode_record(1, None, b"<pre>" + quoted + b"</pre>"), warc.encode_record(2, None, b"x")]
+    records[0] = records[0].replace(b"<pre>", b"<PRE>")  # its digest no longer holds
+    data = b"".join(warc.member(r) if packed else r for r in records)
+    items = list(warc.salvage(data))
+    assert [i[0] for i in items] == ["gap", "record"] and items[1][3]["warc-record-id"].endswith(":2>")
+    both = warc.member(b"".join(records))
+    assert [i[3]["warc-record-id"][-3:] for i in warc.salvage(both) if i[0] == "record"] == [":2>"]
+
+
+def test_warc_folder_as_uri(spark, tmp_path):
+    assert warc.uri_of(spark, str(tmp_path)) == f"file://{tmp_path}" == warc.uri_of(spark, f"file:{tmp_path}")
+
+
 def test_pipeline_stages(spark, documents, awkward, nothing, duck):
     kept = {r["doc_id"] for r in quality.measure(documents).filter("kept").collect()}
     stages = dict(corpus_pipeline.STAGES)
