@@ -5,15 +5,16 @@ of the widest dimension, tight bounding boxes) and answers blocks of queries: th
 is known for all nodes from two matrix products, nodes are taken best first, and a node is opened only while its bound
 isn't below the query's k-th score so far, which is propagated from leaf to leaf. It starts from the query's home shard:
 a first pass over that one shard gives every query a k-th score that prunes in all the others. Every shard answers every
-query (the stated query set against all rows, in blocks); the k best of a shard go on and the k best of all remain.
+query (the stated query set against all rows, in blocks); the k best of a shard go on and the k best of all remain. Queries
+are dealt into blocks of about QUERY_ROWS, and a task has one shard and one block, whatever the table's size.
 
 Scores are integers: floor(SCALE * x) of each component, so ties are true ties and go to the smaller vec_id. Blocks whose
 sums fit in 53 bits are multiplied as doubles, exactly; others as Python integers, held to 64 bits at the end.
 
 Defined results: vectors that are null or hold a null or a non-finite component take no part, as query or candidate;
 vectors of different lengths are never compared; a query's own row is any row with its vec_id, and a null vec_id takes no
-part; repeated rows are candidates as often as they come, but a repeated query is answered once; a query without any
-candidate returns no row; an empty table gives an empty result; other columns are not read.
+part; repeated rows are candidates as often as they come, but a query's vec_id is answered once, for the least of its vectors
+(component by component); a query without any candidate returns no row; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ SCALE = 64
 K = 20
 SHARD_ROWS = 8192
 LEAF_ROWS = 256
+QUERY_ROWS = 32768
 QUERY_BLOCK = 1024
 
 
@@ -107,7 +109,7 @@ def _floor(x):
 
 
 def _answers(queries: DataFrame, shards: DataFrame, k: int) -> DataFrame:
-    """The k best of each (n, shard) group for the queries that name it."""
+    """The k best of each (n, shard) for each block of the queries that name it."""
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -122,7 +124,7 @@ def _answers(queries: DataFrame, shards: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     own = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    return own.groupBy("q_n", "q_shard").cogroup(shards.groupBy("n", "shard")).applyInPandas(answer, "query_id long, vec_id long, score long")
+    return own.groupBy("q_n", "q_shard", "q_block").cogroup(shards.groupBy("n", "shard", "block")).applyInPandas(answer, "query_id long, vec_id long, score long")
 
 
 def top_k(rows: DataFrame, is_query, k: int = K) -> DataFrame:
@@ -131,13 +133,16 @@ def top_k(rows: DataFrame, is_query, k: int = K) -> DataFrame:
     size = kept.count()
     n_shards = max(1, -(-size // SHARD_ROWS))
     shards = kept.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int"))
-    asked = shards.filter(is_query).dropDuplicates(["vec_id"]).select("vec_id", "v", "n", F.col("shard").alias("home"))
+    asked = stored(kept.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("n", F.size("v")), "queries")
+    n_blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    blocks = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    asked = asked.withColumns({"home": F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int"), "block": F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(n_blocks)).cast("int")})
     nothing = F.lit(float("-inf"))
-    first = stored(_answers(asked.select("vec_id", "v", "n", F.col("home").alias("shard"), nothing.alias("least")), shards, k), "home")
+    first = stored(_answers(asked.select("vec_id", "v", "n", F.col("home").alias("shard"), "block", nothing.alias("least")), blocks, k), "home")
     known = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("least"))
     bounded = asked.join(known, asked["vec_id"] == known["query_id"], "left").withColumn("least", F.coalesce("least", nothing))
     others = bounded.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).filter("shard <> home")
-    found = first.unionByName(_answers(others.select("vec_id", "v", "n", "shard", "least"), shards, k))
+    found = first.unionByName(_answers(others.select("vec_id", "v", "n", "shard", "block", "least"), blocks, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -149,6 +154,6 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 20 = 0) q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+  FROM (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id) q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {k}"""
