@@ -132,15 +132,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with the columns it came with.
 
-    Rows that share that doc_id are told apart by their texts' hashes, of which the smallest stays; of equal rows one.
+    Rows that share that doc_id are told apart by their texts' hashes, of which the smallest stays; of equal rows one, by the
+    hash of all columns.
     """
     found = near_duplicates(docs)
-    best = stored(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("best")).select("best.doc_id", "best.h"), "kept")
-    kept = best.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"))
-    h, n = unused("simhash_h", docs.columns), unused("simhash_n", docs.columns)
+    counted = found.groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))  # first: equal rows combine before they meet
+    best = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "n")).alias("best"))
+    h, n, own = unused("simhash_h", docs.columns), unused("simhash_n", docs.columns), unused("simhash_id", docs.columns)
+    kept = stored(best.select(F.col("best.doc_id").alias(own), F.col("best.h").alias(f"{h}_"), F.col("best.n").alias(n)), "kept")
     hashed = docs.withColumn(h, text_hash(F.col("text")))
-    own = hashed.join(kept, hashed[h].eqNullSafe(kept["kept_h"]) & hashed["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
-    return own.withColumn(n, F.row_number().over(Window.partitionBy(h, "doc_id").orderBy(h))).filter(F.col(n) == 1).drop(h, n)
+    met = hashed.join(kept, F.col(h).eqNullSafe(F.col(f"{h}_")) & hashed["doc_id"].cast("long").eqNullSafe(F.col(own)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = met.filter(F.col(n) > 1).groupBy(h, "doc_id").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias(n))
+    return met.filter(F.col(n) == 1).select(*docs.columns).unionByName(one.select(f"{n}.*"))
 
 
 def digest(found: DataFrame) -> DataFrame:
