@@ -7,7 +7,8 @@ largest page_id is a response and the others are revisits that refer to it.
 
 Reading: members and records are checked (gzip CRC, version line, Content-Length, closing blank lines, block digest).
 After a failed check the reader looks for the next member or version line that reads well, goes on there and logs the
-bytes between as a quarantined gap, so that one damaged record costs that record alone. In a damaged member of several records
+bytes between as a quarantined gap, so that one damaged record costs that record alone. A record whose framing is sound and
+whose digest alone differs is a gap as it stands: what its payload quotes is never taken for a record. In a damaged member of several records
 it looks for version lines in what could be inflated, and logs the inner gaps with the member's place.
 
 Defined results: a null html is an empty payload; a null url is left out; a null page_id gets a record of its own whose
@@ -37,6 +38,8 @@ LEAST_BYTES = 0
 #: An archive is closed when it has grown beyond this.
 ARCHIVE_BYTES = 16 << 20
 CHUNK = 1 << 16
+#: pyarrow's name of the storage that Spark's URI schemes name; other schemes are the same in both.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 ID = "urn:kairoscope:page:"
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -60,6 +63,14 @@ RECORD = T.StructType(
 )
 
 
+class DigestError(ValueError):
+    """A record whose framing is sound, and whose block isn't what its digest says; end is where it ends."""
+
+    def __init__(self, end: int) -> None:
+        super().__init__("block digest differs")
+        self.end = end
+
+
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -94,9 +105,10 @@ def decided(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes the pages as archives into a folder of the shared storage; the rows (path, records, bytes) that were written."""
+    target = uri_of(pages.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        where, root = fs.FileSystem.from_uri(target)
         out, path, n, size = None, "", 0, 0
 
         def done() -> pa.RecordBatch:
@@ -121,6 +133,14 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     return stored(decided(pages, least_bytes).mapInArrow(write, "path string, records long, bytes long"), "archives")
 
 
+def uri_of(spark: SparkSession, folder: str) -> str:
+    """The folder as a full URI for pyarrow; what a path without a scheme means is asked of Spark's own file system, once, here."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    scheme, _, rest = found.partition(":")
+    return f"{SCHEMES.get(scheme, scheme)}:{rest if rest.startswith('//') else f'//{rest}'}"
+
+
 def inflate(data: memoryview, at: int) -> tuple[bytes, int]:
     """The gzip member that begins at a position, and where it ends; zlib.error if it is damaged or cut off."""
     unpacker, parts, end = zlib.decompressobj(31), [], at
@@ -153,7 +173,7 @@ def parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
         raise ValueError("record not closed")
     block = bytes(data[begin:end])
     if (told := headers.get("warc-block-digest", "")).startswith("sha1:") and told[5:] != base32_sha1(block):
-        raise ValueError("block digest differs")
+        raise DigestError(end + 4)
     return headers, block, end + 4
 
 
@@ -189,6 +209,19 @@ def inflated(data: memoryview, at: int) -> tuple[bytes, int | None]:
     return b"".join(parts), end - len(unpacker.unused_data) if unpacker.eof else None
 
 
+def _next_version(data: bytes, at: int) -> int:
+    """The next version line after a position that begins a good record, or one whose digest alone differs; the end if there is none."""
+    while (at := data.find(VERSION, at + 1)) >= 0:
+        try:
+            parse(data, at)
+            return at
+        except DigestError:
+            return at
+        except ValueError:
+            continue
+    return len(data)
+
+
 def inside(view: memoryview, at: int) -> tuple[list[tuple], int | None]:
     """("record", headers, block) and ("gap", reason) of a damaged member, and where it ends, if known.
 
@@ -203,14 +236,7 @@ def inside(view: memoryview, at: int) -> tuple[list[tuple], int | None]:
             headers, block, own = parse(inner, own)
             items.append(("record", headers, block))
         except ValueError as fault:
-            begin = own
-            while (own := inner.find(VERSION, own + 1)) >= 0:
-                try:
-                    parse(inner, own)
-                    break
-                except ValueError:
-                    continue
-            own = len(inner) if own < 0 else own
+            begin, own = own, fault.end if isinstance(fault, DigestError) else _next_version(inner, own)
             items.append(("gap", f"{fault}: bytes {begin} to {own} of the inflated member"))
     return (items, end) if len(items) > 1 and any(kind == "record" for kind, *_ in items) else ([], None)
 
@@ -229,11 +255,18 @@ def following(data: bytes, view: memoryview, at: int, known: list[tuple]) -> int
         try:
             if not all(x in known for x in read_at(data, view, end)[0]):
                 return end
-        except (ValueError, zlib.error):
-            if inside(view, end)[0]:
+        except (ValueError, zlib.error) as fault:
+            if isinstance(fault, DigestError) or inside(view, end)[0]:
                 return end
 
 
+def _framed(view: memoryview, at: int, fault: Exception) -> int | None:
+    """Where the record at a position ends, if its digest alone differs; as a member, if that reads well to its end."""
+    if not isinstance(fault, DigestError):
+        return None
+    return inflate(view, at)[1] if view[at : at + 3] == GZIP else fault.end
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
     """("record", position, end, headers, block) and ("gap", position, end, reason), in order; they cover every byte."""
     view, at = memoryview(data), 0
@@ -242,6 +275,10 @@ def salvage(data: bytes) -> Iterator[tuple]:
             found, end = read_at(data, view, at)
         except (ValueError, zlib.error) as fault:
             items, end = inside(view, at)
+            if not items and (whole := _framed(view, at, fault)):
+                yield "gap", at, whole, str(fault)
+                at = whole
+                continue
             cut = end is None
             end = following(data, view, at, [tuple(x) for kind, *x in items if kind == "record"]) if cut else end
             for kind, *rest in items:
