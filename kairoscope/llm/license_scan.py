@@ -1,13 +1,15 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, twice: over paragraphs, whose lines run on, and within single lines, so that a notice
-between two lines of prose is a sentence of its own. Each sentence is normalised to its lower-case words and numbers and
-looked up among the known licence sentences (those that hold a place to cut are known by their parts, in a row), which gives the text a sequence of identifiers with their places. Ordered
-rules then match runs of that sequence: the longest full texts first, notices last; identifiers that a rule has used are
-used up. Copyright lines and SPDX tags are recognised by how they begin.
+A text is a row of words: letters and digits in lower case, with their places; comment leaders, quotes, hyphens and white
+space fall between words, so wrapped, padded, commented and hyphenated spellings read alike. Sentences begin and end where
+a line, a clause or the text does. From every such beginning the words are followed along the known licence sentences (a
+tree by words), and the longest one that ends where a sentence may end gives its identifier; the search goes on after it.
+So a text becomes a sequence of identifiers with their places. Ordered rules then match runs of that sequence: the longest
+full texts first, notices last; identifiers that a rule has used are used up. Copyright lines (the word, then a sign or a
+year) and SPDX tags are recognised by how they begin; where a tag and a sentence begin at one place, the tag wins.
 
-Only texts that hold one of KEYS, whatever stands between its words, are cut at all; every known sentence holds one, which the tests check, so nothing is
-missed by it.
+Only texts that hold one of KEYS, whatever stands between its words, are read word by word; every known sentence holds
+one, which the tests check, so nothing is missed by it.
 
 Defined results: null, empty and blank texts have no licence; repeated rows get the same result; an empty table gives an
 empty result; other columns are not read; very long texts are scanned whole.
@@ -36,14 +38,33 @@ SENTENCES = {
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "apache-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "apache-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "gpl-copy": "You should have received a copy of the GNU General Public License along with this program.",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
     "reserved": "All rights reserved.",
+    "mit0-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "apache-basis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "apache-see": "See the License for the specific language governing permissions and limitations under the License.",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "unlicense-free": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "cc0-waiver": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "wtfpl": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
 }
+# The GNU licences by name and version, and what their notices call the work.
+GNU = (("GPL", "GNU General Public License", ("2", "3")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3")), ("AGPL", "GNU Affero General Public License", ("3",)))
+WORKS = ("program", "library", "file", "software")
+GNU_NOTICE = "This {work} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+GNU_ONLY = "This {work} is free software: you can redistribute it and/or modify it under the terms of the {name} version {version} as published by the Free Software Foundation."
+GNU_SEE = "See the {name} for more details."
+GNU_COPY = "You should have received a copy of the {name} along with this {work}."
 # How licences are called in notices, by SPDX identifier, and how notices begin and end.
 NAMES = {
     "MIT": ("the MIT License", "the MIT licence", "MIT"), "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache 2.0"), "BSD-2-Clause": ("the BSD 2-Clause License",), "BSD-3-Clause": ("the BSD 3-Clause License", "the BSD License"),
@@ -54,114 +75,115 @@ NAMES = {
 CREATIVE = {"CC-BY": "CC BY", "CC-BY-SA": "CC BY-SA", "CC-BY-NC": "CC BY-NC", "CC-BY-ND": "CC BY-ND", "CC-BY-NC-SA": "CC BY-NC-SA", "CC-BY-NC-ND": "CC BY-NC-ND"}
 VERSIONS = ("2.0", "3.0", "4.0")
 OPENINGS = ("Licensed under", "Released under", "Distributed under", "Available under", "This work is licensed under", "This work is released under", "This file is licensed under", "This software is licensed under", "This project is licensed under", "This document is licensed under", "This content is licensed under")
+
+
+def gnu() -> tuple[dict[str, list[str]], list[tuple[str, tuple[str, ...]]]]:
+    """Sentences by identifier, and rules, of the GNU licences: one pattern for all of them."""
+    known_, full, short = {}, [], []
+    for short_name, name, versions in GNU:
+        known_[f"{short_name}-see"] = [GNU_SEE.format(name=name)]
+        known_[f"{short_name}-copy"] = [GNU_COPY.format(name=name, work=w) for w in WORKS]
+        for version in versions:
+            spdx = f"{short_name}-{version if '.' in version else version + '.0'}"
+            for kind, text in (("or-later", GNU_NOTICE), ("only", GNU_ONLY)):
+                own = f"{spdx}-{kind}"
+                known_[own] = [text.format(work=w, name=name, version=v) for w in WORKS for v in {version, spdx.rpartition("-")[2]}]
+                full += [(own, (own, "gpl-hope", f"{short_name}-see", f"{short_name}-copy")), (own, (own, f"{short_name}-copy"))]
+                short.append((own, (own,)))
+    return known_, full + short
+
+
 #: Ordered rules: (licence, identifiers in a row); the first that matches at a place wins.
 RULES = (
+    ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
+    ("MIT-0", ("mit0-grant", "mit-warranty", "mit-liability")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names")),
+    ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-warranty")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
+    ("Apache-2.0", ("apache-notice", "apache-copy", "apache-basis", "apache-see")),
     ("Apache-2.0", ("apache-notice", "apache-copy")),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-copy")),
-    ("GPL-2.0-or-later", ("gpl2-free", "gpl-copy")),
+    *gnu()[1],
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("0BSD", ("0bsd-grant", "isc-warranty")),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("MPL-2.0", ("mpl-notice", "mpl-copy")),
+    ("Unlicense", ("unlicense", "unlicense-free")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-grant",)),
+    ("MIT-0", ("mit0-grant",)),
     ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant",)),
     ("BSL-1.0", ("bsl-grant",)),
     ("Apache-2.0", ("apache-notice",)),
-    ("GPL-3.0-or-later", ("gpl-free",)),
-    ("GPL-2.0-or-later", ("gpl2-free",)),
     ("MPL-2.0", ("mpl-notice",)),
+    ("EPL-2.0", ("epl-notice",)),
+    ("Zlib", ("zlib-grant",)),
     ("Unlicense", ("unlicense",)),
+    ("CC0-1.0", ("cc0-waiver",)),
+    ("WTFPL", ("wtfpl",)),
     ("all-rights-reserved", ("copyright", "reserved")),
 )
 #: One of these is in every known sentence, in some case.
-KEYS = ("licen", "copyright", "redistribut", "warrant", "spdx", "permission", "rights reserved", "public domain", "gplv", "apache", "free software", " mit", "cc by", "cc0", "free and unencumbered")
+KEYS = ("licen", "copyright", "redistribut", "warrant", "spdx", "permission", "rights reserved", "public domain", "gplv", "apache", "free software", " mit", "cc by", "cc0", "free and unencumbered", "free to copy", "the mpl")
 #: KEYS as they are in texts, where anything but letters and digits may stand between words.
 KEY = re.compile("|".join(re.sub("^ ", "(?<![a-z0-9])", k).replace(" ", "[^a-z0-9]+") for k in KEYS))
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)")
-END = re.compile(r"(?<=[.!?:;])\s+|\n\s*\n|\n(?=\s*(?:\d+[.)]|[*-])\s)")
-WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-
-
-def normalised(sentence: str) -> str:
-    """Lower-case words and numbers; list markers at the start go."""
-    return " ".join(WORD.findall(re.sub(r"^\s*(?:\d+[.)]|[*-])\s", "", sentence).lower()))
+WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
+#: Between two words: where a sentence may end and the next begin.
+CUT = re.compile(r"[.!?:;][\"'”’)\]]*\s|\n")
+#: What closes a sentence after its last word.
+CLOSE = re.compile(r"[^A-Za-z0-9\n]*?[.!?:;][\"'”’)\]]*(?=\s|$)")
+COPYRIGHT = re.compile(r"copyright\s*(?:\(c\)|©|&copy;|(?:19|20)\d\d\b)", re.IGNORECASE)
 
 
 def spelled() -> list[tuple[str, str]]:
     """(sentence, identifier) of every known sentence: notices are an opening and a name."""
     names = [(spdx, n) for spdx, all_ in NAMES.items() for n in all_] + [(f"{spdx}-{v}", f"{n} {v}") for (spdx, n), v in product(CREATIVE.items(), VERSIONS)] + [("CC0-1.0", "CC0 1.0")]
-    return [(f"{o} {n}", f"notice:{spdx}") for o, (spdx, n) in product(OPENINGS, names)] + [(s, i) for i, s in SENTENCES.items()]
+    notices = [(f"{o} {n}", f"notice:{spdx}") for o, (spdx, n) in product(OPENINGS, names)]
+    return notices + [(s, i) for i, s in SENTENCES.items()] + [(s, i) for i, all_ in gnu()[0].items() for s in all_]
 
 
-@lru_cache(maxsize=1)
-def known() -> dict[str, str]:
-    """Normalised sentence -> identifier."""
-    return {normalised(s): i for s, i in spelled()}
+def words_of(text: str) -> list[str]:
+    return [w.lower() for w in WORD.findall(text)]
 
 
 @lru_cache(maxsize=1)
-def pieced() -> tuple[dict[tuple[str, ...], str], frozenset[str]]:
-    """Known sentences that END cuts: their normalised parts -> identifier, most parts first; and all the parts."""
-    cut = {tuple(normalised(x) for x in END.split(s)): i for s, i in spelled()}
-    cut = {parts: i for parts, i in sorted(cut.items(), key=lambda x: -len(x[0])) if len(parts) > 1}
-    return cut, frozenset(x for parts in cut for x in parts)
-
-
-def whole(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The items, with each run of all the parts of a sentence as one item; other parts go."""
-    out, i, names = [], 0, [name for _, _, name in found]
-    while i < len(found):
-        if not names[i].startswith("part:"):
-            out.append(found[i])
-            i += 1
-            continue
-        for parts, name in pieced()[0].items():
-            if all(a == f"part:{b}" for a, b in zip(names[i : i + len(parts)], parts)) and i + len(parts) <= len(names):
-                out.append((found[i][0], found[i + len(parts) - 1][1], name))
-                i += len(parts)
-                break
-        else:
-            i += 1
-    return out
-
-
-def sentences(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, sentence) over paragraphs, then within lines."""
-    for whole, flat in ((text, True), (text, False)):
-        at = 0
-        for m in [*END.finditer(whole), None]:
-            stop = m.start() if m else len(whole)
-            part = whole[at:stop]
-            if flat:
-                yield at, stop, part
-            elif "\n" in part:
-                start = at
-                for line in part.split("\n"):
-                    yield start, start + len(line), line
-                    start += len(line) + 1
-            at = m.end() if m else stop
+def tree() -> dict:
+    """The known sentences word by word; the identifier of one that ends at a node is under "" there."""
+    root: dict = {}
+    for sentence, name in spelled():
+        node = root
+        for word in words_of(sentence):
+            node = node.setdefault(word, {})
+        node[""] = name
+    return root
 
 
 def identified(text: str) -> list[tuple[int, int, str]]:
     """(start, end, identifier) of the known sentences of a text, in order, each place once."""
-    dictionary, found = known(), {}
-    for start, end, part in sentences(text):
-        if len(part) > 2000:
-            continue  # longer than any known sentence
-        words = normalised(part)
-        if not words:
-            continue
-        name = dictionary.get(words)
-        if name is None and words.startswith("copyright"):
-            name = "copyright"
-        if name is None and words in pieced()[1]:
-            name = f"part:{words}"
-        if name is not None:
-            lead = len(part) - len(part.lstrip())
-            found.setdefault(start + lead, (start + lead, start + len(part.rstrip()), name))
-    for m in SPDX.finditer(text):
-        found[m.start()] = (m.start(), m.end(), f"notice:{m[1]}")
-    return whole([found[k] for k in sorted(found)])
+    tags = [(m.start(), m.end(), f"notice:{m[1]}") for m in SPDX.finditer(text)]
+    spans = [m.span() for m in WORD.finditer(text)]
+    words = [text[a:b].lower() for a, b in spans]
+    ends = [bool(CUT.search(text[a:b])) for (_, a), (b, _) in zip(spans, spans[1:], strict=False)] + [True]
+    found, i, root = [], 0, tree()
+    while i < len(words):
+        best = None
+        if (i == 0 or ends[i - 1]) and words[i] in root:
+            node, j = root, i
+            while j < len(words) and (node := node.get(words[j])) is not None:
+                if ends[j] and "" in node:
+                    best = (j, node[""])
+                j += 1
+        if best is None and words[i] == "copyright" and (i == 0 or ends[i - 1]) and COPYRIGHT.match(text, spans[i][0]):
+            best = (next(j for j in range(i, len(words)) if ends[j]), "copyright")
+        if best is not None:
+            stop = best[0]
+            close = CLOSE.match(text, spans[stop][1])
+            found.append((spans[i][0], close.end() if close else spans[stop][1], best[1]))
+        i = best[0] + 1 if best else i + 1
+    return sorted([*tags, *(x for x in found if not any(a <= x[0] < b for a, b, _ in tags))])
 
 
 def licences(items: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
