@@ -7,7 +7,8 @@ below that centroid's radius (the RADIUS_QUANTILE of its own training texts, les
 accepted.
 
 What is learned: document frequencies and language counts from every training text; the centroids from a bounded
-sample, about SAMPLE_PER_LANG texts of each language, chosen by a hash of doc_id.
+sample, about SAMPLE_PER_LANG different texts of each language, chosen by a hash of doc_id and text, and at least one.
+What reaches the driver is the model: a few centroids of each language.
 
 Defined results: null texts and texts without a letter are `und` with score 0, and so is every text where nothing could
 be learned; a null doc_id counts as the empty text in the hash that holds out; repeated rows are scored alike; an empty
@@ -25,6 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kairoscope.llm.common import join_summary, stored
+
+#: A letter, as Java's patterns have it.
+LETTER = r"\p{L}"
 DIMS = 1 << 12
 #: Bound of the sample that centroids are fitted to, for each language; in expectation, as a hash decides.
 SAMPLE_PER_LANG = 1000
@@ -101,12 +106,12 @@ def train(docs: DataFrame) -> dict:
         df[dim] = c
     idf = np.log((1 + n) / (1 + df)) + 1
     model = {"idf": idf.astype(np.float32), "centres": np.zeros((0, DIMS), dtype=np.float32), "langs": [], "radii": np.zeros(0)}
-    sizes = {lang: c for lang, c in labelled.groupBy("lang").count().collect()}
-    if not sizes:
-        return model
-    share = F.create_map(*[F.lit(x) for lang, c in sorted(sizes.items()) for x in (lang, min(1.0, SAMPLE_PER_LANG / c))])
-    place = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30))
-    sample = labelled.withColumn("place", place).filter(F.col("place") < F.element_at(share, F.col("lang"))).select("lang", "place", "text")
+    placed = labelled.withColumn("place", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    lettered = F.min(F.when(F.col("text").rlike(LETTER), F.col("place")))
+    sizes = stored(placed.groupBy("lang").agg(F.count("*").alias("n"), lettered.alias("first")), "languages")
+    share = (F.shiftrightunsigned("place", 11).cast("double") / float(1 << 53)) < SAMPLE_PER_LANG / F.col("n")
+    chosen = join_summary(placed.select("lang", "place", "text"), sizes, "lang", sizes.count()).filter(share | (F.col("place") == F.col("first")))
+    sample = chosen.groupBy("lang", "place").agg(F.first("text").alias("text"))  # repeated rows once, however many
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +129,7 @@ def train(docs: DataFrame) -> dict:
             rows.append((group["lang"].iloc[0], c, centre.tobytes(), float(np.quantile(near, RADIUS_QUANTILE)) - RADIUS_MARGIN if len(near) else 1.0))
         return pd.DataFrame(rows, columns=["lang", "c", "v", "radius"])
 
-    fitted = sample.mapInArrow(vectors, "lang string, place double, v binary").groupBy("lang").applyInPandas(fit, "lang string, c int, v binary, radius double")
+    fitted = sample.mapInArrow(vectors, "lang string, place long, v binary").groupBy("lang").applyInPandas(fit, "lang string, c int, v binary, radius double")
     rows = sorted(fitted.collect(), key=lambda r: (r["lang"], r["c"]))
     if rows:
         model |= {"centres": np.stack([np.frombuffer(r["v"], dtype=np.float32) for r in rows]), "langs": [r["lang"] for r in rows], "radii": np.array([r["radius"] for r in rows])}
