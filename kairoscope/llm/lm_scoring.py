@@ -1,18 +1,21 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A token is the class of a word: the most frequent words of the corpus have a class each, the rest share BUCKETS classes
-by a hash of their last bytes; class 0 stands before the first and after the last token. A bidirectional window network
-predicts every token from the tokens on its two sides, p(c | l, r) = softmax(W tanh(L[l] + R[r] + b) + o), and a text's
-score is the sum of these conditional log-probabilities.
-
-What training gathers is the whole corpus: word counts of every text, then counts of every (left, token, right) triple.
-The triples are the network's sufficient statistics, so each step of training is a full-batch step over all tokens, and
-what reaches the driver is one packed row for each left class: CLASSES cubed counters at most, however large the corpus.
-Training is numpy, on those counts, and starts from a fixed seed. Scoring sends out the parameters only; each task works
-out the log-probabilities once and looks triples up.
-
-Defined results: null, empty and blank texts have no token, a score of 0 and a null mean; repeated rows score alike;
-an empty table gives an empty result; very long texts are scored whole, in blocks.
+A token is a word. Words have classes: the FREQUENT most frequent ones a class each, the others share BUCKETS classes by a
+hash of their last bytes; class 0 stands outside a text. A bidirectional window network predicts the class of every token
+from the two tokens on each side, of which the outer ones count by FAR coarser classes:
+p(c | context) = softmax(W tanh(F[ll] + L[l] + R[r] + G[rr] + b) + o). A word is as likely within its class as it is frequent
+in the corpus, n(w) / n(c). A text's score is the sum of log p(c | context) + log n(w) / n(c) over its tokens.
+
+What is gathered grows with the corpus: a count of every word of every text, in a table, and counts of all windows. The
+windows of classes are the network's sufficient statistics, so each step of training is a full-batch step over all tokens.
+The driver gets the KNOWN most frequent words, the classes' sizes and one packed row of counts for each pair of left classes
+(NEAR * NEAR * NEAR * FAR * FAR counters); the rest of the vocabulary stays in its table: a first pass scores what the tasks
+know and keeps the other words of each text, and these are joined with their counts. They are rare, so no key is hot.
+Training is numpy, on those counts, and starts from a fixed seed.
+
+Defined results: null, empty and blank texts have no token, a score of 0 and a null mean; repeated rows score alike; words
+that the corpus doesn't have count half an occurrence; an empty table gives an empty result; very long texts are scored
+whole, in blocks.
 """
 
 from __future__ import annotations
@@ -24,42 +27,79 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FREQUENT, BUCKETS = 191, 64
-CLASSES = 1 + FREQUENT + BUCKETS
+from kairoscope.llm.common import stored
+
+#: Classes of words (0 is outside), and coarser ones of the words two away.
+FREQUENT, BUCKETS, FAR = 39, 24, 8
+NEAR = 1 + FREQUENT + BUCKETS
+WINDOWS = FAR * NEAR * NEAR * NEAR * FAR
 HIDDEN, EPOCHS, RATE = 24, 30, 0.05
+#: Words whose counts tasks have at hand.
+KNOWN = 1 << 16
 #: Distinct words that a task keeps before it passes counts on, and that it remembers classes of.
 WORDS_KEPT = 400_000
 BLOCK = 1 << 20
+UNSEEN = 0.5
 
 
-class Vocabulary(dict):
-    """word -> class; remembers what it has worked out, up to a bound."""
+def far(classes: np.ndarray) -> np.ndarray:
+    return np.where(classes > 0, 1 + classes % (FAR - 1), 0)
+
 
-    def __init__(self, frequent: Iterable[bytes]) -> None:
-        self.frequent = {w: 1 + i for i, w in enumerate(frequent)}
-        super().__init__(self.frequent)
+def bucket(word: bytes) -> int:
+    return 1 + FREQUENT + zlib.crc32(word[-3:]) % BUCKETS
+
+
+class Vocabulary(dict):
+    """word -> its number in classes, part (log n(w) / n(c), without n(w) if that isn't known) and hashes (0 if it is known)."""
+
+    def __init__(self, known: Iterable[tuple[bytes, int]], sizes: dict[int, int]) -> None:
+        super().__init__()
+        self.sizes = sizes
+        self.classes, self.part, self.hashes = np.empty(KNOWN, np.int32), np.empty(KNOWN), np.zeros(KNOWN, np.int64)
+        for i, (word, n) in enumerate(known):
+            self.add(word, 1 + i if i < FREQUENT else bucket(word), n, 0)
+        self.known = len(self)
+
+    def add(self, word: bytes, class_: int, n: float, hash_: int) -> int:
+        at = len(self)
+        if at == len(self.classes):
+            self.classes, self.part, self.hashes = (np.concatenate([x, x]) for x in (self.classes, self.part, self.hashes))
+        own = 1 <= class_ <= FREQUENT
+        self.classes[at], self.part[at], self.hashes[at] = class_, 0.0 if own else np.log(n) - np.log(self.sizes.get(class_, 1)), hash_
+        self[word] = at
+        return at
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-            self.update(self.frequent)
-        self[word] = found = 1 + FREQUENT + zlib.crc32(word[-3:]) % BUCKETS
-        return found
+        hash_ = xxhash.xxh64_intdigest(word, 42)
+        return self.add(word, bucket(word), 1.0, hash_ - (1 << 64) if hash_ >> 63 else hash_)
+
+    def trimmed(self) -> Vocabulary:
+        """This, or a new one with the known words alone, if it has grown beyond its bound."""
+        if len(self) - self.known <= WORDS_KEPT:
+            return self
+        fresh = Vocabulary([], self.sizes)
+        fresh.update(dict(list(self.items())[: self.known]))
+        fresh.classes, fresh.part, fresh.hashes, fresh.known = self.classes[:KNOWN].copy(), self.part[:KNOWN].copy(), self.hashes[:KNOWN].copy(), self.known
+        return fresh
 
 
-def tokens(text: bytes | None, vocabulary: Vocabulary) -> np.ndarray:
+def numbers(text: bytes | None, vocabulary: Vocabulary) -> np.ndarray:
+    """The words of a text by their numbers in the vocabulary."""
     words = text.lower().split() if text else []
-    return np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int32, count=len(words))
+    return np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def triples(classes: np.ndarray) -> np.ndarray:
-    """left, token and right of each token, as one number."""
-    padded = np.zeros(len(classes) + 2, dtype=np.int32)
-    padded[1:-1] = classes
-    return (padded[:-2] * CLASSES + padded[1:-1]) * CLASSES + padded[2:]
+def windows(classes: np.ndarray) -> np.ndarray:
+    """Two tokens to the left, the token and two to the right, for each token, as one number."""
+    padded = np.zeros(len(classes) + 4, dtype=np.int32)
+    padded[2:-2] = classes
+    outer = far(padded).astype(np.int32)
+    return (((outer[:-4] * NEAR + padded[1:-3]) * NEAR + padded[2:-2]) * NEAR + padded[3:-1]) * FAR + outer[4:]
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,32 +116,52 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(found)
 
 
-def train_counts(counts: np.ndarray) -> dict[str, np.ndarray]:
-    """The network's parameters from counts[left, token, right]; Adam over the mean conditional log-probability."""
-    v, rng = CLASSES, np.random.default_rng(7)
-    total = max(1.0, float(counts.sum()))
-    p = {"L": rng.normal(0, 0.3, (v, HIDDEN)), "R": rng.normal(0, 0.3, (v, HIDDEN)), "b": np.zeros(HIDDEN), "W": rng.normal(0, 0.3, (v, HIDDEN)), "o": np.log(counts.sum(axis=(0, 2)) + 1.0) - np.log(total + v)}
-    p = {k: x.astype(np.float32) for k, x in p.items()}
-    first, second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    for step in range(1, EPOCHS + 1):
-        grad = {k: np.zeros_like(x) for k, x in p.items()}
-        for left in range(v):
-            seen = counts[left].T.astype(np.float32)  # right, token
-            weight = seen.sum(axis=1, keepdims=True)
-            rows = np.flatnonzero(weight[:, 0])
+def start(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The network before training; counts are by outer left, left, token, right and outer right class."""
+    rng, (outer, near, *_) = np.random.default_rng(7), counts.shape
+    tokens = counts.sum(axis=(0, 1, 3, 4), dtype=np.float64)
+    p = {name: rng.normal(0, 0.3, (n, HIDDEN)) for name, n in (("F", outer), ("L", near), ("R", near), ("G", outer), ("W", near))}
+    return p | {"b": np.zeros(HIDDEN), "o": np.log(tokens + 1.0) - np.log(max(1.0, tokens.sum()) + near)}
+
+
+def loss_and_gradient(p: dict[str, np.ndarray], counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean negative conditional log-probability of the tokens, and its gradient."""
+    total, loss = max(1.0, float(counts.sum(dtype=np.float64))), 0.0
+    grad = {k: np.zeros_like(x) for k, x in p.items()}
+    outer, near = counts.shape[:2]
+    right = (p["R"][:, None] + p["G"][None] + p["b"]).reshape(near * outer, -1)
+    for i in range(outer):
+        for j in range(near):
+            seen = counts[i, j].reshape(near, -1).T.astype(right.dtype)  # right and outer right, token
+            rows = np.flatnonzero(seen.any(axis=1))
             if not len(rows):
                 continue
-            seen, weight = seen[rows], weight[rows]
-            h = np.tanh(p["L"][left] + p["R"][rows] + p["b"])
+            seen = seen[rows]
+            weight = seen.sum(axis=1, keepdims=True)
+            h = np.tanh(right[rows] + p["F"][i] + p["L"][j])
             z = h @ p["W"].T + p["o"]
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            d = (z / z.sum(axis=1, keepdims=True) * weight - seen) / np.float32(total)
+            z -= z.max(axis=1, keepdims=True)
+            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+            loss -= float((seen * z).sum(dtype=np.float64))
+            d = (np.exp(z) * weight - seen) / np.array(total, dtype=right.dtype)
             dh = (d @ p["W"]) * (1 - h * h)
             grad["W"] += d.T @ h
             grad["o"] += d.sum(axis=0)
-            grad["L"][left] += dh.sum(axis=0)
-            grad["R"][rows] += dh
-            grad["b"] += dh.sum(axis=0)
+            whole = dh.sum(axis=0)
+            for name, at in (("F", i), ("L", j)):
+                grad[name][at] += whole
+            grad["b"] += whole
+            np.add.at(grad["R"], rows // outer, dh)
+            np.add.at(grad["G"], rows % outer, dh)
+    return loss / total, grad
+
+
+def train_counts(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The network's parameters; Adam over the mean conditional log-probability."""
+    p = {k: x.astype(np.float32) for k, x in start(counts).items()}
+    first, second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    for step in range(1, EPOCHS + 1):
+        _, grad = loss_and_gradient(p, counts)
         for k in p:
             first[k] = 0.9 * first[k] + 0.1 * grad[k]
             second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
@@ -110,13 +170,15 @@ def train_counts(counts: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def log_probabilities(p: dict[str, np.ndarray]) -> np.ndarray:
-    """By the number that triples() makes."""
-    out = np.empty((CLASSES, CLASSES, CLASSES), dtype=np.float32)
-    for left in range(CLASSES):
-        z = np.tanh(p["L"][left] + p["R"] + p["b"]) @ p["W"].T + p["o"]
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        out[left] = z.T
+    """By the number that windows() makes."""
+    out = np.empty((FAR, NEAR, NEAR, NEAR * FAR), dtype=np.float32)
+    right = (p["R"][:, None] + p["G"][None] + p["b"]).reshape(NEAR * FAR, -1)
+    for i in range(FAR):
+        for j in range(NEAR):
+            z = np.tanh(right + p["F"][i] + p["L"][j]) @ p["W"].T + p["o"]
+            z -= z.max(axis=1, keepdims=True)
+            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+            out[i, j] = z.T
     return out.reshape(-1)
 
 
@@ -125,48 +187,65 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> dict:
-    """Vocabulary and parameters, from every text."""
-    top = _texts(docs).mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    frequent = [bytes(r["word"]) for r in top]
+    """What scoring needs, from every text: known words, sizes of classes, the network, and the table of all words."""
+    counted = _texts(docs).mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = stored(counted.withColumn("hash", F.xxhash64("word")), "words")
+    known = [(bytes(r["word"]), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+    tail = F.lit(1 + FREQUENT) + F.crc32(F.substring("word", -3, 3)) % BUCKETS
+    sizes = {int(r["c"]): r["n"] for r in words.groupBy(tail.alias("c")).agg(F.sum("n").alias("n")).collect()}
+    for word, n in known[:FREQUENT]:
+        sizes[bucket(word)] -= n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, found = Vocabulary(frequent), np.zeros(CLASSES**3, dtype=np.uint32)
+        vocabulary, found = Vocabulary(known, sizes), np.zeros(WINDOWS, dtype=np.uint32)
         for batch in batches:
             for text in batch.column(0):
-                if len(classes := tokens(text.as_py(), vocabulary)):
-                    np.add.at(found, triples(classes), 1)
+                if len(own := numbers(text.as_py(), vocabulary)):
+                    np.add.at(found, windows(vocabulary.classes[own]), 1)
+                vocabulary = vocabulary.trimmed()
         at = np.flatnonzero(found)
-        for start in range(0, len(at), BLOCK):
-            part = at[start : start + BLOCK]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(found[part].astype(np.int64))], names=["triple", "n"])
+        for begin in range(0, len(at), BLOCK):
+            part = at[begin : begin + BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(found[part].astype(np.int64))], names=["window", "n"])
+
+    size = NEAR * NEAR * FAR
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        row = np.zeros(CLASSES**2, dtype=np.float32)
-        row[group["triple"].to_numpy() % CLASSES**2] = group["n"]
-        return pd.DataFrame({"l": [int(group["l"].iloc[0])], "packed": [zlib.compress(row.tobytes(), 1)]})
+        row = np.zeros(size, dtype=np.float32)
+        row[group["window"].to_numpy() % size] = group["n"]
+        return pd.DataFrame({"left": [int(group["window"].iloc[0]) // size], "packed": [zlib.compress(row.tobytes(), 1)]})
 
-    summed = _texts(docs).mapInArrow(count, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n"))
-    rows = summed.withColumn("l", F.expr(f"triple div {CLASSES**2}").cast("int")).groupBy("l").applyInPandas(pack, "l int, packed binary").collect()
-    counts = np.zeros((CLASSES, CLASSES, CLASSES), dtype=np.float32)
+    summed = _texts(docs).mapInArrow(count, "window int, n long").groupBy("window").agg(F.sum("n").alias("n"))
+    rows = summed.groupBy(F.expr(f"window div {size}").alias("g")).applyInPandas(pack, "left int, packed binary").collect()
+    counts = np.zeros((FAR * NEAR, size), dtype=np.float32)
     for r in rows:
-        counts[r["l"]] = np.frombuffer(zlib.decompress(r["packed"]), dtype=np.float32).reshape(CLASSES, CLASSES)
-    return {"frequent": frequent, "network": train_counts(counts)}
+        counts[r["left"]] = np.frombuffer(zlib.decompress(r["packed"]), dtype=np.float32)
+    return {"known": known, "sizes": sizes, "words": words, "network": train_counts(counts.reshape(FAR, NEAR, NEAR, NEAR, FAR))}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (summed) and mean_log_likelihood for each document."""
-    frequent, network = model["frequent"], model["network"]
+    known, sizes, network = model["known"], model["sizes"], model["network"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, vocabulary = log_probabilities(network), Vocabulary(frequent)
+        table, vocabulary = log_probabilities(network), Vocabulary(known, sizes)
         for batch in batches:
-            sizes, sums = [], []
-            for text in batch.column(1):
-                classes = tokens(text.as_py(), vocabulary)
-                sizes.append(len(classes))
-                sums.append(float(table[triples(classes)].sum(dtype=np.float64)) if len(classes) else 0.0)
-            means = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+            n, sums, others = [], [], []
+            for text in batch.column(2):
+                own = numbers(text.as_py(), vocabulary)
+                n.append(len(own))
+                sums.append(float(table[windows(vocabulary.classes[own])].sum(dtype=np.float64) + vocabulary.part[own].sum()) if len(own) else 0.0)
+                hashes = vocabulary.hashes[own]
+                others.append(hashes[hashes != 0])
+                vocabulary = vocabulary.trimmed()
+            edges = np.cumsum([0, *map(len, others)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([*others, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), lists], names=["row", "doc_id", "n_tokens", "s", "others"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    local = stored(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, s double, others array<long>"), "scored")
+    rest = local.select("row", F.explode("others").alias("hash")).groupBy("row", "hash").agg(F.count("*").alias("times"))
+    known_n = model["words"].groupBy("hash").agg(F.sum("n").alias("n"))
+    more = rest.join(known_n, "hash", "left").groupBy("row").agg(F.sum(F.col("times") * F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))).alias("more"))
+    total = F.col("s") + F.coalesce("more", F.lit(0.0))
+    return local.join(more, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))
