@@ -6,12 +6,17 @@ never more than the InDel distance) and the lengths, drops pairs that can't reac
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Names that are compared one by one: tables of letters cost more than they save.
+FEW = 16
+
+
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, with the bits of one integer as a row of the table."""
     where: dict[str, int] = {}
@@ -33,6 +38,31 @@ def similarity(a: str | None, b: str | None) -> float:
     return 200.0 * common_subsequence(a, b) / (len(a) + len(b))
 
 
+def letters(names: list[str]) -> np.ndarray:
+    """How often each name has each of 64 kinds of letters."""
+    out = np.zeros((len(names), 64), dtype=np.int16)
+    sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+    points = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    np.add.at(out, (np.repeat(np.arange(len(names)), sizes), points & 63), 1)
+    return out
+
+
+def reaching(left: list[str], right: list[str], least: float) -> list[tuple[int, int, float]]:
+    """(i, j, similarity) of all pairs at `least` or more.
+
+    What two names have in common as bags of letters bounds their common subsequence from above, so nothing is missed; only
+    pairs that this bound leaves are worked out.
+    """
+    out, held = [], letters(right)
+    size = held.sum(axis=1)
+    for i, (name, own) in enumerate(zip(left, letters(left), strict=True)):
+        bound = 200.0 * np.minimum(own, held).sum(axis=1) >= least * (len(name) + size) - 1e-9
+        for j in np.flatnonzero(bound):
+            if (found := similarity(name, right[j])) >= least:
+                out.append((i, int(j), found))
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -65,6 +95,31 @@ def alike(a: Column, b: Column, least: float = 80.0) -> Column:
     return token_sort_ratio(a, b) >= least
 
 
+def token_sorted(text: str) -> str:
+    return " ".join(sorted(text.split()))
+
+
+def same_names(names: list[str], least: float, inside: bool) -> np.ndarray:
+    """Which names are alike, as a table: token-sort similarity of at least `least`, and, if asked, one a substantial part of the other."""
+    out = np.eye(len(names), dtype=bool)
+    forms = [token_sorted(x) for x in names]
+    if len(names) <= FEW:
+        for i, a in enumerate(forms):
+            for j in range(i):
+                b = forms[j]
+                if 200.0 * min(len(a), len(b)) >= least * (len(a) + len(b)) and similarity(a, b) >= least:
+                    out[i, j] = out[j, i] = True
+    else:
+        for i, j, _ in reaching(forms, forms, least):
+            out[i, j] = True
+    if inside:
+        for i, a in enumerate(names):
+            for j, b in enumerate(names):
+                if len(a) >= 6 and len(a) >= 0.6 * len(b) and a in b:
+                    out[i, j] = out[j, i] = True
+    return out
+
+
 def _inside(a: Column, b: Column) -> Column:
     shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     return (shorter >= 6) & (F.contains(a, b) | F.contains(b, a)) & (shorter >= 0.6 * longer)

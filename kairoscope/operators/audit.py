@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.functions import ages, text
-from kairoscope.model import look_up
 
 # Own relations that confirm a static one, and relations that contradict each other.
 FAMILIES = {
@@ -33,10 +32,12 @@ def relation_pairs(families: dict = FAMILIES, negations: dict = NEGATIONS) -> di
 def matches(static: DataFrame, triples: DataFrame, pairs: dict[str, str] | None = None) -> DataFrame:
     """(edge_no, ord, match_type, score): own triples of the same disease whose relation confirms or contradicts a static
     edge (edge_no, disease_id, relation, x_name, y_name) and whose names match both ends, in the better orientation."""
-    kind = look_up(pairs or relation_pairs(), F.concat_ws("|", F.col("s.relation"), F.col("t.relation")))
-    s = static.withColumns({"x": text.audit_name(F.col("x_name")), "y": text.audit_name(F.col("y_name"))}).alias("s")
-    t = triples.withColumns({"a": text.audit_name(F.col("subject")), "b": text.audit_name(F.col("object"))}).alias("t")
-    met = s.join(t, "disease_id").withColumn("match_type", kind).filter("match_type IS NOT NULL")
+    spark = static.sparkSession
+    kinds = [(*k.split("|"), v) for k, v in (pairs or relation_pairs()).items()]
+    known = F.broadcast(spark.createDataFrame(kinds, "relation string, own_relation string, match_type string"))  # a fixed table of a few rows
+    s = static.join(known, "relation").withColumns({"x": text.audit_name(F.col("x_name")), "y": text.audit_name(F.col("y_name"))}).alias("s")
+    t = triples.withColumns({"a": text.audit_name(F.col("subject")), "b": text.audit_name(F.col("object")), "own_relation": F.col("relation")}).drop("relation").alias("t")
+    met = s.join(t, ["disease_id", "own_relation"])
 
     def oriented(x: str, y: str) -> Column:
         m, n = text.audit_match(F.col("x"), F.col(x)), text.audit_match(F.col("y"), F.col(y))
@@ -56,7 +57,9 @@ def verdicts(static: DataFrame, triples: DataFrame, years: DataFrame | None = No
     if years is not None:
         found = found.join(years.select(F.concat(F.lit("PMID:"), "pmid").alias("source_id"), F.col("year").alias("known_year")), "source_id", "left")
         year = F.coalesce("known_year", year)
-    top = found.withColumn("year", year).groupBy("edge_no").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "ord", "match_type", "source_id", "year", "own_relation", "confidence"))), 1, COUNTED).alias("top"))
+    rank = F.row_number().over(Window.partitionBy("edge_no").orderBy(F.desc("score"), "ord"))
+    best_few = found.withColumn("year", year).withColumn("rank", rank).filter(F.col("rank") <= COUNTED)  # before they are gathered
+    top = best_few.groupBy("edge_no").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "ord", "match_type", "source_id", "year", "own_relation", "confidence"))).alias("top"))
     best, seen = F.col("top")[0], F.array_compact(F.transform("top", lambda x: x["year"]))
     joined = static.join(top, "edge_no", "left").join(triples.select("disease_id").distinct().withColumn("known", F.lit(True)), "disease_id", "left")
     verdict = F.when(best["match_type"] == "contradict", "CONTRADICTED").when(best["match_type"] == "confirm", "CONFIRMED").otherwise("UNASSESSED")

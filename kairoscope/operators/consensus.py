@@ -1,18 +1,21 @@
 """Agreement between extractors and merging across sources: blocked fuzzy joins, distributed components, argmax merges.
 
-Blocks keep the joins small: triples are compared within (document, relation), edges within (profile, relation). Rows with
-equal names are one variant, and only variants are compared, so a claim that many rows make word for word costs no pairs.
-The fuzzy comparison follows a bound that the JVM tests.
+Triples are compared within (document, relation), edges within (profile, relation). Rows with equal names are one variant,
+and only variants are compared, so a claim that many rows make word for word costs no pairs. Large groups are compared block
+by block (operators/blocks.py), and only links are emitted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.functions import fuzzy, text
+from kairoscope.operators.blocks import linked_within
 from kairoscope.operators.components import components
 from kairoscope.storage import stored
 
@@ -26,7 +29,26 @@ def clustered(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.join(roots, rows["ord"] == roots["node"], "left").withColumn("cluster", F.coalesce("root", "ord")).drop("node", "root")
 
 
-def clusters(rows: DataFrame, block: list[str], possible: Callable, same: Callable) -> DataFrame:
+def same_claim(least: float, inside: bool) -> Callable:
+    """A test of rows (s, o, ids): both names are alike and no source is in both."""
+    same_names = fuzzy.same_names  # the function alone travels, not its module
+
+    def test(columns: list[pa.ChunkedArray]) -> np.ndarray:
+        ids = columns[2].to_pylist()
+        table = np.ones((len(ids), len(ids)), dtype=bool)
+        for column in columns[:2]:
+            number: dict[str, int] = {}
+            at = [number.setdefault(x, len(number)) for x in column.to_pylist()]
+            table &= same_names(list(number), least, inside)[np.ix_(at, at)]
+        for x, y in zip(*np.nonzero(np.triu(table, 1)), strict=True):
+            if ids[x] and ids[y] and not set(ids[x]).isdisjoint(ids[y]):
+                table[x, y] = table[y, x] = False
+        return table
+
+    return test
+
+
+def clusters(rows: DataFrame, block: list[str], least: float = SAME, inside: bool = False) -> DataFrame:
     """(ord, cluster) of rows (block, s, o, tag, ord): rows of one block link if their tags differ and both names are the same.
 
     All rows of a variant (equal names) link as soon as it has two tags, or links to another variant: then each of its rows
@@ -34,15 +56,8 @@ def clusters(rows: DataFrame, block: list[str], possible: Callable, same: Callab
     apart.
     """
     variants = stored(rows.groupBy(*block, "s", "o").agg(F.min("ord").alias("rep"), F.min("tag").alias("low"), F.max("tag").alias("high")), "variants")
-    a, b = variants.alias("a"), variants.alias("b")
-    within = F.col("a.rep") < F.col("b.rep")
-    for c in block:
-        within &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    one = (F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low"))
-    met = a.join(b, within).filter(~one)
-    names = [(F.col(f"a.{n}"), F.col(f"b.{n}")) for n in ("s", "o")]
-    near = met.filter(possible(*names[0]) & possible(*names[1])).filter(same(*names[0]) & same(*names[1]))
-    pairs = stored(near.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")), "pairs")
+    tagged = variants.withColumn("ids", F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.array().cast("array<string>")))
+    pairs = stored(linked_within(tagged, block, "rep", ["s", "o", "ids"], same_claim(least, inside)), "pairs")
     touched = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
     roots = components(pairs).select(F.col("node").alias("rep"), "root")
     labelled = variants.join(touched, "rep", "left").join(roots, "rep", "left").filter((F.col("low") != F.col("high")) | F.col("linked"))
@@ -62,7 +77,7 @@ def consensus(triples: DataFrame, *block: str, least: int = 2) -> DataFrame:
     held = stored(triples, "triples")
     named = held.select(*block, "ord", F.coalesce("extraction_model", F.lit("")).alias("tag"), text.entity_name(F.col("subject")).alias("s"), text.entity_name(F.col("object")).alias("o"), text.canonical_relation(F.col("relation")).alias("r"))
     named = stored(named, "named")  # normalised once, read by the comparison and by the labels
-    found = held.join(clusters(named.filter("s <> '' AND o <> ''"), [*block, "r"], fuzzy.possibly_same_entity, fuzzy.same_entity), "ord", "left").withColumn("cluster", F.coalesce("cluster", "ord"))
+    found = held.join(clusters(named.filter("s <> '' AND o <> ''"), [*block, "r"], inside=True), "ord", "left").withColumn("cluster", F.coalesce("cluster", "ord"))
     models = held.groupBy(*block).agg(F.count_distinct("extraction_model").alias("n_block_models"))
     best = F.struct(F.col("confidence").cast("double"), F.length("subject") + F.length("object"), -F.col("ord"))
     kept = found.groupBy(*block, "cluster").agg(F.count_distinct("extraction_model").alias("n_models"), F.array_sort(F.collect_set("extraction_model")).alias("extraction_models"), F.max_by("ord", best).alias("ord")).filter(F.col("n_models") >= least)
@@ -80,14 +95,8 @@ def third_model_needed(counts: DataFrame, first: str, second: str) -> DataFrame:
 
 def merge_pairs(edges: DataFrame, *block: str) -> DataFrame:
     """Pairs of ords of edges of one relation, from different sources, whose names are alike."""
-    keyed = edges.select(*block, "ord", "relation", F.lower("source_name").alias("s"), F.lower("target_name").alias("t"), F.col("evidence.source_ids").alias("ids"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    within = F.col("a.relation") == F.col("b.relation")
-    for c in block:
-        within &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    together = a.join(b, within & (F.col("a.ord") < F.col("b.ord")) & ~F.arrays_overlap(F.col("a.ids"), F.col("b.ids")))
-    near = together.filter(fuzzy.possible(F.col("a.s"), F.col("b.s"), SAME) & fuzzy.possible(F.col("a.t"), F.col("b.t"), SAME))
-    return near.filter(fuzzy.alike(F.col("a.s"), F.col("b.s"), SAME) & fuzzy.alike(F.col("a.t"), F.col("b.t"), SAME)).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
+    keyed = edges.select(*block, "ord", "relation", F.coalesce(F.lower("source_name"), F.lit("")).alias("s"), F.coalesce(F.lower("target_name"), F.lit("")).alias("o"), F.col("evidence.source_ids").alias("ids"))
+    return linked_within(keyed, [*block, "relation"], "ord", ["s", "o", "ids"], same_claim(SAME, inside=False))
 
 
 def merged(clusters: DataFrame) -> DataFrame:
@@ -117,8 +126,8 @@ def merge_sources(edges: DataFrame, *block: str) -> DataFrame:
     if held.filter(F.size("evidence.source_ids") > 1).head(1):
         return merged(clustered(held, merge_pairs(held, *block)))
     tag = F.coalesce(F.get("evidence.source_ids", F.lit(0)), F.concat(F.lit("row "), F.col("ord").cast("string")))
-    named = held.select(*block, "relation", "ord", tag.alias("tag"), F.lower("source_name").alias("s"), F.lower("target_name").alias("o"))
-    found = clusters(named, [*block, "relation"], lambda x, y: fuzzy.possible(x, y, SAME), lambda x, y: fuzzy.alike(x, y, SAME))
+    named = held.select(*block, "relation", "ord", tag.alias("tag"), F.coalesce(F.lower("source_name"), F.lit("")).alias("s"), F.coalesce(F.lower("target_name"), F.lit("")).alias("o"))
+    found = clusters(named, [*block, "relation"])
     return merged(held.join(found, "ord"))
 
 

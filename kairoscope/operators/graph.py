@@ -75,7 +75,7 @@ def resolve(mentions: DataFrame, edges: DataFrame, kg_names: DataFrame | None =
         found = found.unionByName(hits.join(entities, "entity", "left_semi").groupBy("mention").agg(F.min("entity").alias("entity")))
     rest = asked.join(found.select("mention"), "mention", "left_anti").select("mention")
     stock = entities.select(F.col("entity").alias("name_key"), F.lit("").alias("node_id"), F.lit("").alias("node_type"), F.col("entity").alias("node_name"))
-    partial = matching.containing(rest, stock, 1000).filter(F.contains("name_key", F.lower("mention"))).groupBy("mention").agg(F.min("name_key").alias("entity"))
+    partial = matching.containing(rest, stock, None).filter(F.contains("name_key", F.lower("mention"))).groupBy("mention").agg(F.min("name_key").alias("entity"))
     return found.unionByName(partial)
 
 

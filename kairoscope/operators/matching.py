@@ -1,19 +1,22 @@
 """Alignment with a static graph and name resolution: staged joins, each stage on what the one before left over.
 
-Substring and fuzzy stages are blocked by character trigrams instead of comparing all names with all: a name of three letters
-or more that holds another shares the other's first trigram. Candidates are ranked by name and id, so "first" is the same on
-every run.
+Substring stages are blocked by runs of letters, fuzzy ones compare blocks of mentions with blocks of names; neither misses a
+candidate. Candidates are ranked by name and id, so "first" is the same on every run.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.functions import fuzzy, text
 from kairoscope.model import LOOKUP_TYPES, key_of, look_up
+from kairoscope.storage import stored
 
 CANDIDATES = 10
+#: Mentions, and names, that are compared at once.
+COMPARED = 4096
 
 
 def nodes(kg: DataFrame) -> DataFrame:
@@ -38,22 +41,25 @@ def resolved(mentions: DataFrame, graph_names: DataFrame) -> DataFrame:
     return asked.join(graph_names, "name_key").filter(F.col("asked").isNull() | (F.col("asked") == F.col("node_type"))).drop("asked")
 
 
-def trigrams(name: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - 2)), lambda i: F.substr(name, i, F.lit(3))))
+def grams(name: Column) -> Column:
+    """The distinct runs of one, two and three letters of a name."""
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name))), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(name, i, n)))))
 
 
-def containing(mentions: DataFrame, graph_names: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """mention -> the first `most` names that hold it or that it holds, by name and id.
+def containing(mentions: DataFrame, graph_names: DataFrame, most: int | None = CANDIDATES) -> DataFrame:
+    """mention -> the first `most` names that hold it or that it holds, by name and id; all of them without `most`.
 
-    Blocked by character trigrams: if one name holds the other, the shorter one's first trigram is in both. Each mention
-    probes with its first trigram against all trigrams of the names, and each name with its first against the mention's.
+    Blocked by the first three letters of the shorter name (all of it, if it has fewer), which are in the longer one: each
+    mention probes with its own against all runs of the names, and each name with its own against the mention's.
     """
     asked = mentions.select("mention", key_of(F.col("mention")).alias("m")).distinct().filter("m <> ''")
     stock = graph_names.select("name_key", "node_id", "node_type", "node_name").distinct().filter("name_key <> ''")
     first = lambda c: F.substr(c, F.lit(1), F.lit(3))
-    held = asked.withColumn("g", first(F.col("m"))).join(stock.withColumn("g", F.explode(F.array_union(trigrams(F.col("name_key")), F.array(first(F.col("name_key")))))), "g").filter(F.contains("name_key", "m"))
-    holds = asked.withColumn("g", F.explode(F.array_union(trigrams(F.col("m")), F.array(first(F.col("m")))))).join(stock.withColumn("g", first(F.col("name_key"))), "g").filter(F.contains("m", "name_key"))
+    held = asked.withColumn("g", first(F.col("m"))).join(stock.withColumn("g", F.explode(grams(F.col("name_key")))), "g").filter(F.contains("name_key", "m"))
+    holds = asked.withColumn("g", F.explode(grams(F.col("m")))).join(stock.withColumn("g", first(F.col("name_key"))), "g").filter(F.contains("m", "name_key"))
     found = held.drop("g").unionByName(holds.drop("g")).distinct()
+    if most is None:
+        return found.drop("m")
     rank = F.row_number().over(Window.partitionBy("m").orderBy("name_key", "node_id", "node_type"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= most).drop("m")
 
@@ -68,7 +74,7 @@ def cascade_lookup(mentions: DataFrame, graph_names: DataFrame) -> DataFrame:
     anywhere = graph_names.groupBy("name_key").agg(F.max(F.struct("node_id", "node_name")).alias("anywhere"))
     exact = asked.join(typed, ["name_key", "asked"], "left").join(anywhere, "name_key", "left")
     rest = exact.filter("typed IS NULL AND anywhere IS NULL AND length(name_key) >= 5")
-    inside = containing(rest, graph_names, CANDIDATES * 1000).filter(F.contains("name_key", key_of(F.col("mention")))).groupBy("mention").agg(F.min(F.struct("name_key", "node_id", "node_name")).alias("part"))
+    inside = containing(rest, graph_names, None).filter(F.contains("name_key", key_of(F.col("mention")))).groupBy("mention").agg(F.min(F.struct("name_key", "node_id", "node_name")).alias("part"))
     all_ = exact.join(inside, "mention", "left")
     hit = F.coalesce("typed", "anywhere", F.struct("part.node_id", "part.node_name"))
     confidence = F.when(F.col("typed").isNotNull(), 1.0).when(F.col("anywhere").isNotNull(), 0.95).when(F.col("part").isNotNull(), 0.7).otherwise(0.0)
@@ -128,18 +134,33 @@ def confirmed(triples: DataFrame, kg: DataFrame, fuzzy_stage: bool = True) -> Da
     return staged.withColumns({"match_type": kind, "reversed": F.coalesce("exact_reversed", "pair_reversed", "near_reversed")}).drop("x", "r", "y", "exact_reversed", "pair_reversed", "near_reversed")
 
 
-def best_fuzzy(mentions: DataFrame, stock: DataFrame, least: float, most: int = 1, token_sort: bool = True) -> DataFrame:
-    """mention -> the `most` names of stock (name, ord) that are most similar, at `least` or more; ties to the first.
+def best_fuzzy(mentions: DataFrame, stock: DataFrame, least: float, most: int | None = 1, token_sort: bool = True) -> DataFrame:
+    """mention -> the `most` names of stock (name, ord) that are most similar, at `least` or more (all, without `most`); ties to the first.
 
-    Blocked by shared trigrams of the prepared names: names of such similarity share one unless they are under three letters.
+    No key is shared by all names of such similarity, so every mention meets every name: both sides are dealt in blocks, two
+    of which are compared in one place, and only what reaches `least` comes out, `most` spellings a mention and block at most.
     """
     form = fuzzy.sorted_tokens if token_sort else (lambda c: c)
-    m = mentions.select("mention").distinct().withColumn("m", form(F.lower("mention")))
-    n = stock.select("name", "ord").withColumn("n", form(F.lower("name")))
-    pairs = m.withColumn("g", F.explode(trigrams(F.col("m")))).join(n.withColumn("g", F.explode(trigrams(F.col("n")))), "g").drop("g").distinct()
-    scored = pairs.filter(fuzzy.may_reach(F.col("m"), F.col("n"), least)).withColumn("score", fuzzy.ratio("m", "n")).filter(F.col("score") >= least)
+    m = stored(mentions.select("mention").distinct().withColumn("m", form(F.lower("mention"))).filter("m IS NOT NULL"), "mentions")
+    n = stored(stock.select("name", "ord").withColumn("n", form(F.lower("name"))).filter("n IS NOT NULL"), "names")
+    left, right = m.select("m").distinct(), n.groupBy("n").agg(F.min("ord").alias("ord"))
+    sizes = [max(1, -(-x.count() // COMPARED)) for x in (left, right)]
+    deal = lambda x, c, i: x.withColumn(f"block{i}", F.pmod(F.xxhash64(c), F.lit(sizes[i])).cast("int")).withColumn(f"block{1 - i}", F.explode(F.sequence(F.lit(0), F.lit(sizes[1 - i] - 1))))
+
+    reaching = fuzzy.reaching  # the function alone travels, not its module
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a["m"].tolist(), b.sort_values("ord")
+        found = pd.DataFrame(reaching(a, b["n"].tolist(), least), columns=["i", "j", "score"])
+        if most is not None:
+            found = found.sort_values(["i", "score", "j"], ascending=[True, False, True]).groupby("i").head(most)
+        return pd.DataFrame({"m": [a[i] for i in found["i"]], "n": b["n"].to_numpy()[found["j"].to_numpy(dtype="int64")], "score": found["score"].astype("float64")})
+
+    blocked = deal(left, "m", 0).groupBy("block0", "block1").cogroup(deal(right, "n", 1).groupBy("block0", "block1"))
+    scored = blocked.applyInPandas(compare, "m string, n string, score double").join(m, "m").join(n, "n")
     rank = F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("score"), "ord"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= most).select("mention", "name", "score", "rank")
+    ranked = scored.withColumn("rank", rank)
+    return (ranked if most is None else ranked.filter(F.col("rank") <= most)).select("mention", "name", "score", "rank")
 
 
 def matched_concepts(mentions: DataFrame, concepts: DataFrame, semantic: DataFrame | None = None, most: int = 5) -> DataFrame:
@@ -156,7 +177,7 @@ def matched_concepts(mentions: DataFrame, concepts: DataFrame, semantic: DataFra
     stock = spelled.select(F.col("spelling").alias("name")).distinct().withColumn("ord", F.xxhash64("name"))
     near = []
     for sort in (False, True):
-        near.append(best_fuzzy(rest, stock, 80.0, 1000, sort))
+        near.append(best_fuzzy(rest, stock, 80.0, None, sort))
     close = near[0].unionByName(near[1]).join(spelled, F.col("name") == F.col("spelling")).select("mention", "cui", F.round(F.col("score") / 100, 4).alias("score"), F.lit("fuzzy").alias("method"))
     found = exact.unionByName(abbreviated).unionByName(close)
     if semantic is not None:

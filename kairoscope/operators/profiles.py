@@ -10,6 +10,8 @@ from kairoscope.functions import ages, text
 from kairoscope.storage import stored
 
 # Buckets of how many phenotypes have an onset, and of evidence years.
+#: Equal rows up to which a bootstrap draws for each of them.
+EXACT_DRAWS = 32
 GRANULARITY = ((1, "1_phenotype"), (5, "2-5_phenotypes"), (10, "6-10_phenotypes"), (20, "11-20_phenotypes"), (None, "20+_phenotypes"))
 BRACKETS = ((2021, "0-5 years"), (2016, "5-10 years"), (2011, "10-15 years"), (2006, "15-20 years"), (None, "20+ years"))
 
@@ -121,7 +123,8 @@ def clustered(features: DataFrame, columns: tuple[str, ...], ks: tuple[int, ...]
 
     stats = features.agg(*[F.avg(c).alias(f"{c}_m") for c in columns], *[F.stddev_pop(c).alias(f"{c}_s") for c in columns]).first()
     scaled = [((F.col(c) - F.lit(stats[f"{c}_m"])) / F.lit(stats[f"{c}_s"] or 1.0)).alias(f"{c}_z") for c in columns]
-    data = VectorAssembler(inputCols=[f"{c}_z" for c in columns], outputCol="features").transform(features.na.fill(0.0, list(columns)).select("*", *scaled)).cache()
+    data = VectorAssembler(inputCols=[f"{c}_z" for c in columns], outputCol="features").transform(features.na.fill(0.0, list(columns)).select("*", *scaled))
+    data = stored(data, "features")
     found = {}
     for k in ks:
         model = KMeans(k=k, seed=seed, predictionCol="cluster").fit(data)
@@ -140,17 +143,25 @@ def characterised(clusters: DataFrame, columns: tuple[str, ...], name: str, most
 
 
 def bootstrap(scored: DataFrame, *by: str, score: str = "score", rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean and 95 % bounds by a Poisson bootstrap: each row counts 0, 1, 2, ... times in each round, by hash, so that no
-    group has to fit in a task and reruns agree."""
-    draws = F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")
-    u = (F.xxhash64(F.col("row"), F.col("round"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
-    cut, times = 0.0, F.lit(0)
-    p = 0.36787944117144233
-    for k in range(1, 8):
+    """Mean and 95 % bounds by a Poisson bootstrap: each row counts 0, 1, 2, ... times in each round, so that no group has to
+    fit in a task and reruns agree.
+
+    Equal scores of a group are one row with their number n, which counts as n independent draws do: the sum of n draws by
+    hash up to EXACT_DRAWS, and beyond that a normal deviate of the same mean and variance, rounded, by hash.
+    """
+    mask, scale = F.lit((1 << 52) - 1), F.lit(float(1 << 52))
+    uniform = lambda *x: F.xxhash64(*x, F.lit(seed)).bitwiseAND(mask) / scale
+    cuts, cut, p = [], 0.0, 0.36787944117144233
+    for k in range(1, 13):
         cut += p
-        times = times + F.when(u >= cut, 1).otherwise(0)
+        cuts.append(cut)
         p /= k
-    drawn = scored.withColumn("row", F.xxhash64(*scored.columns)).select(*by, score, "row", draws).withColumn("w", times)
+    drawn_once = lambda u: F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + (u >= c).cast("int"))
+    few = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(EXACT_DRAWS))), F.lit(0), lambda n, i: n + drawn_once(uniform("row", "round", i)))
+    normal = F.sqrt(-2 * F.log(1 - uniform("row", "round", F.lit(-1)))) * F.cos(2 * F.pi() * uniform("row", "round", F.lit(-2)))
+    many = F.greatest(F.lit(0.0), F.bround(F.col("n") + F.sqrt("n") * normal)).cast("long")
+    distinct = scored.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"))
+    drawn = distinct.withColumn("row", F.xxhash64(*by, score)).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", F.when(F.col("n") <= EXACT_DRAWS, few.cast("long")).otherwise(many))
     means = drawn.groupBy(*by, "round").agg((F.sum(F.col(score) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     bounds = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     mean = scored.groupBy(*by).agg(F.avg(score).alias("mean"), F.count("*").alias("n"))

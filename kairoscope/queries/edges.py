@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairoscope.functions import scores
@@ -58,27 +58,41 @@ def repair(spark: SparkSession, sf: str) -> DataFrame:
     return quality.repaired(e).groupBy("source_type", "relation", "target_type", "action").agg(F.count("*").alias("n"))
 
 
-def exact_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    li = t.table(spark, sf, "lineitem")
-    triples = li.select(F.md5(F.col("l_partkey").cast("string")).alias("subject"), t.relation(F.col("l_returnflag")).alias("relation"), F.md5(F.concat(F.lit("o"), F.col("l_partkey").cast("string"))).alias("object"), F.col("l_suppkey").cast("string").alias("extraction_model"), F.col("l_discount").alias("confidence"), F.col("l_partkey").alias("source_id"), t.ord_().alias("ord"))
+def wordings(base: Column, way: Column) -> Column:
+    """One name in four wordings: as it is, in capitals, with its words the other way round, with its last letter typed twice."""
+    return F.element_at(F.array(base, F.upper(base), F.array_join(F.reverse(F.split(base, " ")), " "), F.concat(base, F.right(base, F.lit(1)))), (way % 4 + 1).cast("int"))
+
+
+def hashed_name(key: Column) -> Column:
+    """A name that is unlike any other: letters of a hash, cut into words."""
+    return F.regexp_replace(F.translate(F.md5(key), "0123456789", "qrtvwxyzkh"), "(.{8})", "$1 ").substr(1, 35)
+
+
+def worded(rows: DataFrame, part: Column, way: Column) -> DataFrame:
+    """Rows with s and o: of each part and base (even and odd orders) one name for each end, in several wordings."""
+    part = part.cast("string")
+    base = F.concat(part, F.lit("-"), (F.col("l_orderkey") % 2).cast("string"))
+    return rows.withColumns({"s": wordings(hashed_name(base), way), "o": wordings(hashed_name(F.concat(F.lit("o"), part)), way + 1)})
+
+
+def fuzzy_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    li = worded(t.table(spark, sf, "lineitem"), F.col("l_partkey"), F.col("l_linenumber"))
+    triples = li.select(F.col("s").alias("subject"), t.relation(F.col("l_returnflag")).alias("relation"), F.col("o").alias("object"), F.col("l_suppkey").cast("string").alias("extraction_model"), F.col("l_discount").alias("confidence"), F.col("l_partkey").alias("source_id"), t.ord_().alias("ord"))
     return consensus.consensus(triples, "source_id").select("source_id", "relation", "ord", "n_models", F.round("confidence", 6).alias("confidence"))
 
 
 def merge(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("evidence")
-    out = consensus.merge_sources(named_apart(t.edges(spark, sf)), "disease_profile_id")
+    named = worded(t.table(spark, sf, "lineitem"), F.col("l_partkey"), F.col("l_linenumber")).select(t.ord_().alias("ord"), "s", "o").dropDuplicates(["ord"])
+    edges = t.edges(spark, sf).join(named, "ord").withColumns({"source_name": F.col("s"), "target_name": F.col("o")}).drop("s", "o")
+    out = consensus.merge_sources(edges, "disease_profile_id")
     return out.select("disease_profile_id", "relation", "ord", "n_members", F.size(e["source_ids"]).cast("long").alias("n_sources"), F.array_join(e["extraction_models"], ",").alias("models"), F.round(e["credibility_score"], 6).alias("credibility"), F.round(e["consensus_confidence"], 6).alias("consensus"))
 
 
-def named_apart(edges: DataFrame) -> DataFrame:
-    """Edges whose names depend on part and relation alone, unlike any other's."""
-    return edges.withColumns({"source_name": F.md5("source_id"), "target_name": F.md5(F.concat("source_id", "relation"))})
-
-
 def confirm(spark: SparkSession, sf: str) -> DataFrame:
     li = t.table(spark, sf, "lineitem").filter("l_linenumber > 1")
     triples = li.select(F.col("l_partkey").cast("string").alias("subject"), t.relation(F.col("l_returnflag")).alias("relation"), F.col("l_suppkey").cast("string").alias("object"), t.ord_().alias("ord"))
-    return matching.confirmed(triples, t.static_graph(spark, sf), fuzzy_stage=False).select("ord", "match_type", "reversed")
+    return matching.confirmed(triples, t.static_graph(spark, sf)).select("ord", "match_type", "reversed")
 
 
 def supersession(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +188,7 @@ def selected_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "q_flagship": summary, "q_validate_edges": validate, "q_project_edges": project, "q_temporal_coverage": coverage, "q_conflicts": conflicts, "q_consistency": consistency, "q_repair_relations": repair,
-    "q_consensus": exact_consensus, "q_cross_source_merge": merge, "q_confirm_cascade": confirm, "q_supersession": supersession, "q_reasoning": reasoned, "q_treatment_updates": treatments, "q_chronology": chronology,
+    "q_consensus": fuzzy_consensus, "q_cross_source_merge": merge, "q_confirm_cascade": confirm, "q_supersession": supersession, "q_reasoning": reasoned, "q_treatment_updates": treatments, "q_chronology": chronology,
     "q_rerank_topk": rerank, "q_credibility": credibility, "q_evidence_lookup": with_evidence, "q_third_model": tie_breaks, "q_majority_vote": votes, "q_audit_verdicts": audited, "q_static_export": rows_for_static,
     "q_property_graph": property_nodes, "q_crosswalk_first": first_listed, "q_first_hit": first_hits, "q_rate_limit": limited, "q_document_selection": selected_documents,
 }
@@ -220,22 +234,31 @@ m AS (SELECT *, CASE
   WHEN z IN ('gene/protein|disease_phenotype_positive|disease', 'disease|disease_phenotype_positive|gene/protein') THEN 'disease_protein'
   WHEN z IN ('disease|disease_protein|biological_process', 'biological_process|disease_protein|disease', 'biological_process|disease_protein|gene/protein', 'gene/protein|disease_protein|biological_process') THEN 'bioprocess_protein' END AS better FROM j)
 SELECT s AS source_type, coalesce(better, r) AS relation, o AS target_type, coalesce(v, CASE WHEN better IS NOT NULL THEN 'reclassified' ELSE 'tagged_unresolved' END) AS action, count(*) AS n FROM m GROUP BY ALL""",
+    # By construction all wordings of a name are alike and different names are not, so a claim's cluster is its part, relation
+    # and base; the third model aside, rows of several models or sources always connect.
     "q_consensus": f"""
-WITH e AS ({EDGE_SQL}),
+WITH e AS (SELECT *, l_orderkey % 2 AS base, CASE WHEN l_linenumber % 4 = 3 THEN 36 ELSE 35 END + CASE WHEN (l_linenumber + 1) % 4 = 3 THEN 36 ELSE 35 END AS long FROM ({EDGE_SQL})),
 b AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS models FROM e GROUP BY 1),
-g AS (SELECT l_partkey, relation, count(DISTINCT l_suppkey) AS n_models, arg_max(ord, (l_discount, -ord)) AS ord FROM e GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 2)
+g AS (SELECT l_partkey, relation, base, count(DISTINCT l_suppkey) AS n_models, arg_max(ord, (l_discount, long, -ord)) AS ord FROM e GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 2)
 SELECT l_partkey AS source_id, relation, ord, n_models, round(n_models / models, 6) AS confidence FROM g JOIN b USING (l_partkey)""",
     "q_cross_source_merge": f"""
-WITH e AS ({EDGE_SQL}), n AS (SELECT *, count(DISTINCT l_orderkey) OVER (PARTITION BY l_partkey, relation) AS orders FROM e),
+WITH e AS (SELECT *, l_orderkey % 2 AS base FROM ({EDGE_SQL})), n AS (SELECT *, count(DISTINCT l_orderkey) OVER (PARTITION BY l_partkey, relation, base) AS orders FROM e),
 c AS (SELECT *, CASE WHEN orders > 1 THEN 0 ELSE ord END AS cluster FROM n)
 SELECT l_partkey::VARCHAR AS disease_profile_id, relation, arg_max(ord, (l_discount, -ord)) AS ord, count(*) AS n_members, count(DISTINCT l_orderkey) AS n_sources, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS models,
        round(max(l_discount), 6) AS credibility, round(CASE WHEN count(*) > 1 THEN greatest(arg_max(1 - l_tax, (l_discount, -ord)), least(1.0::DOUBLE, count(*) * 0.33::DOUBLE)) ELSE max(1 - l_tax) END, 6) AS consensus
-FROM c GROUP BY l_partkey, relation, cluster""",
+FROM c GROUP BY l_partkey, relation, base, cluster""",
     "q_confirm_cascade": f"""
 WITH kg AS (SELECT DISTINCT l_partkey AS x, {t.RELATION_SQL} AS r, l_suppkey AS y FROM lineitem WHERE l_linenumber = 1),
 q AS (SELECT l_partkey AS x, {t.RELATION_SQL} AS r, l_suppkey AS y, {t.ORD_SQL} AS ord FROM lineitem WHERE l_linenumber > 1),
-m AS (SELECT ord, EXISTS (FROM kg WHERE kg.x = q.x AND kg.r = q.r AND kg.y = q.y) AS a, EXISTS (FROM kg WHERE kg.x = q.y AND kg.r = q.r AND kg.y = q.x) AS b, EXISTS (FROM kg WHERE kg.x = q.x AND kg.y = q.y) AS c, EXISTS (FROM kg WHERE kg.x = q.y AND kg.y = q.x) AS d FROM q)
-SELECT ord, CASE WHEN a OR b THEN 'exact' WHEN c OR d THEN 'same_relation' END AS match_type, CASE WHEN a THEN false WHEN b THEN true WHEN c THEN false WHEN d THEN true END AS reversed FROM m""",
+m AS (SELECT ord, x, y, EXISTS (FROM kg WHERE kg.x = q.x AND kg.r = q.r AND kg.y = q.y) AS a, EXISTS (FROM kg WHERE kg.x = q.y AND kg.r = q.r AND kg.y = q.x) AS b, EXISTS (FROM kg WHERE kg.x = q.x AND kg.y = q.y) AS c, EXISTS (FROM kg WHERE kg.x = q.y AND kg.y = q.x) AS d FROM q),
+rest AS (SELECT DISTINCT x, y FROM m WHERE NOT (a OR b OR c OR d)),
+s AS (SELECT DISTINCT x::VARCHAR AS n, 'drug' AS k FROM kg UNION SELECT DISTINCT y::VARCHAR, 'disease' FROM kg),
+asked AS (SELECT x::VARCHAR AS w FROM rest UNION SELECT y::VARCHAR FROM rest),
+near AS (SELECT w, n FROM (SELECT w, n, row_number() OVER (PARTITION BY w ORDER BY n, n, k) AS i FROM asked JOIN s ON contains(n, w) OR contains(w, n)) WHERE i <= 10),
+e AS (SELECT x::VARCHAR AS cx, y::VARCHAR AS cy, false AS v FROM kg UNION SELECT y::VARCHAR, x::VARCHAR, true FROM kg),
+f AS (SELECT rest.x, rest.y, bool_and(v) AS v FROM rest JOIN near p ON p.w = rest.x::VARCHAR JOIN near q ON q.w = rest.y::VARCHAR JOIN e ON e.cx = p.n AND e.cy = q.n GROUP BY ALL)
+SELECT ord, CASE WHEN a OR b THEN 'exact' WHEN c OR d THEN 'same_relation' WHEN f.v IS NOT NULL THEN 'fuzzy_name' END AS match_type, CASE WHEN a THEN false WHEN b THEN true WHEN c THEN false WHEN d THEN true ELSE f.v END AS reversed
+FROM m LEFT JOIN f ON f.x = m.x AND f.y = m.y""",
     "q_supersession": f"""
 WITH e AS ({EDGE_SQL}), o AS (SELECT l_partkey, l_suppkey, min((d, ord, edge_id)) AS x FROM e WHERE relation = 'indication' GROUP BY ALL), n AS (SELECT l_partkey, l_suppkey, max((d, -ord, edge_id)) AS y FROM e WHERE relation = 'contraindication' GROUP BY ALL)
 SELECT x[3] AS old_edge_id, y[3] AS new_edge_id, 'contradictory' AS reason, x[1]::VARCHAR AS old_date, y[1]::VARCHAR AS new_date FROM o JOIN n USING (l_partkey, l_suppkey) WHERE y[1] > x[1]""",

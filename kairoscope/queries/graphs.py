@@ -68,7 +68,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def patient(spark: SparkSession, sf: str) -> DataFrame:
     e = t.edges(spark, sf)
-    return graph.patient_subgraph(e.filter("source_id = '7'").select(F.lower("source_name").alias("entity")).distinct(), e, 30.0, 0).select("edge_id")
+    return graph.patient_subgraph(e.filter("source_id = '7'").select(F.lower("source_name").alias("entity")).distinct(), e, 30.0).select("edge_id")
 
 
 def resolved(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +94,7 @@ def contained(spark: SparkSession, sf: str) -> DataFrame:
 def retrieved(spark: SparkSession, sf: str) -> DataFrame:
     e = t.edges(spark, sf)
     questions = spark.createDataFrame([(1, "part 13"), (2, "is part 15 worth it"), (3, "zzzz")], "question_id int, question string")
-    return graph.retrieve(questions, e, 0, 5).select("question_id", "edge_id", "rank", "insufficient_evidence")
+    return graph.retrieve(questions, e, most=5).select("question_id", "edge_id", "rank", "insufficient_evidence")
 
 
 QUERIES = {
@@ -134,7 +134,9 @@ SELECT head, relation, tail, h.id AS head_id, o.id AS tail_id, relation_id FROM
     "q_link_metrics": "SELECT l_returnflag, round(avg(1 / l_quantity), 6) AS mrr, round(avg((l_quantity <= 1)::INT), 6) AS hits_1, round(avg((l_quantity <= 3)::INT), 6) AS hits_3, round(avg((l_quantity <= 10)::INT), 6) AS hits_10 FROM lineitem GROUP BY 1",
     "q_adjacency": "SELECT entity, count(*) AS n FROM (SELECT 'part ' || l_partkey AS entity FROM lineitem UNION ALL SELECT 'supplier ' || l_suppkey FROM lineitem) GROUP BY 1",
     "q_document_index": "SELECT l_orderkey::VARCHAR AS document, count(*) AS n FROM lineitem GROUP BY 1",
-    "q_patient_subgraph": f"SELECT {t.ID_SQL} AS edge_id FROM lineitem WHERE l_partkey = 7 AND 30 BETWEEN l_quantity AND l_quantity + 100 * l_tax",
+    "q_patient_subgraph": f"""
+SELECT DISTINCT {t.ID_SQL} AS edge_id FROM lineitem
+WHERE (l_partkey = 7 OR l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey = 7)) AND 30 BETWEEN l_quantity AND l_quantity + 100 * l_tax""",
     "q_resolve_name": f"""
 WITH n AS (SELECT DISTINCT x AS name, 'drug' AS kind FROM ({KG_SQL}) UNION SELECT DISTINCT y, 'disease' FROM ({KG_SQL})), q AS (SELECT DISTINCT l_suppkey::VARCHAR AS m, CASE WHEN l_linenumber % 2 = 0 THEN 'treatment' END AS k FROM lineitem)
 SELECT ' ' || m AS mention, k AS mention_type, count(*) AS n FROM q JOIN n ON n.name = m AND (k IS NULL OR kind = 'drug') GROUP BY ALL""",

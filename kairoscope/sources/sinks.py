@@ -70,12 +70,10 @@ def write_vectors(chunks: DataFrame, path: str) -> None:
 
 def finished(spark: SparkSession, manifest: str) -> DataFrame:
     """The manifest's keys; empty where there is none yet."""
-    try:
-        return spark.read.parquet(manifest)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], "disease_id string, validated boolean, n_consensus long")
+    path = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    schema = "disease_id string, validated boolean, n_consensus long"
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(schema).parquet(manifest) if there else spark.createDataFrame([], schema)
 
 
 def mark_finished(done: DataFrame, manifest: str) -> None:

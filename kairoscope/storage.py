@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the session has it.
 
-    Only where the session names none (tests) is a folder of our own made and set.
+    Only where the session names none and runs in one process (tests) is a folder of our own made and set; on a cluster
+    such a folder would be another one on each machine.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kairoscope-"))
     return (named or sc.getCheckpointDir()).rstrip("/")
 

@@ -28,17 +28,20 @@ def edges(raw: DataFrame, metadata: DataFrame, delay: str = "1 day") -> DataFram
     return made
 
 
+def _written(spark: SparkSession, table: str) -> bool:
+    """Whether a batch has been committed to the table's folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table, "_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def merge_into(table: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that appends edges whose id the table doesn't have."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(["edge_id"])
-        try:
+        if _written(spark, table):
             new = new.join(spark.read.parquet(table).select("edge_id"), "edge_id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         new.withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
 
     return merge

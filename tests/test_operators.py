@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kairoscope import model
 from kairoscope.functions import ages, fuzzy, parse, scores, text
-from kairoscope.operators import benchmark, chunks, components, consensus, diagnosis, evidence, gold, graph, matching, profiles, quality, temporal, vectors
+from kairoscope.operators import benchmark, blocks, chunks, components, consensus, diagnosis, evidence, gold, graph, matching, profiles, quality, temporal, vectors
 from kairoscope.plans import pipelines
 from kairoscope.sources import files, sinks
 from kairoscope.streaming import quality as streams
@@ -392,6 +392,60 @@ def test_ranked_by_keywords(spark):
     assert graph.keyword_ranked(asked, edges, least=9).count() == 0
 
 
+def test_fuzzy_matching_is_complete(spark, monkeypatch):
+    """Against every pair, names without a run of letters in common included."""
+    rng = random.Random(3)
+    names = ["als2", "al-s2", "abcde", "abxde", "abcdefgh", "abXdeXgh", "abcdefghij", "abXcdXefXghXij", "", "ß é", "é ß"]
+    for _ in range(120):
+        x = rng.choice(names)
+        p = rng.randrange(len(x) + 1)
+        names.append(x[:p] + rng.choice(["", "q", "zz", " "]) + x[p + rng.randint(0, 2) :])
+    mentions, stock = sorted(set(names[::2])), sorted(set(names[1::2]))
+    monkeypatch.setattr(matching, "COMPARED", 16)
+    m, n = spark.createDataFrame([(x,) for x in mentions], "mention string"), spark.createDataFrame([(x, i) for i, x in enumerate(stock)], "name string, ord long")
+    for least in (75.0, 80.0, 85.0):
+        wanted = {(a, b) for a in mentions for b in stock if fuzzy.similarity(a.lower(), b.lower()) >= least}
+        found = matching.best_fuzzy(m, n, least, None, token_sort=False).collect()
+        assert {(r["mention"], r["name"]) for r in found} == wanted and len(wanted) > 30
+        best = {r["mention"]: r["name"] for r in matching.best_fuzzy(m, n, least, 1, token_sort=False).collect()}
+        assert best == {a: min((b for b in stock if (a, b) in wanted), key=lambda b: (-fuzzy.similarity(a.lower(), b.lower()), stock.index(b))) for a, _ in wanted}
+
+
+def test_containing_is_complete(spark):
+    names = ["a", "ab", "xaby", "b", "abc", "zabcz", "aab"]
+    stock = spark.createDataFrame([(x, x, "", x) for x in names], "name_key string, node_id string, node_type string, node_name string")
+    asked = spark.createDataFrame([(x,) for x in ("A", "ab", "by", "zabczz", "q")], "mention string")
+    found = {(r["mention"], r["name_key"]) for r in matching.containing(asked, stock, None).collect()}
+    assert found == {(m, n) for m in ("A", "ab", "by", "zabczz", "q") for n in names if m.lower() in n or n in m.lower()}
+    assert matching.containing(asked, stock, 2).filter("mention = 'A'").count() == 2
+
+
+def test_linked_within_blocks(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["g", "h", None]), rng.choice(["alpha beta", "beta alpha", "alpha betta", "gamma"]), rng.choice(["one thing", "one thingg", "other"]), [str(rng.randrange(4))]) for i in range(90)]
+    df = spark.createDataFrame(rows, "node long, g string, s string, o string, ids array<string>").repartition(3)
+    same = lambda a, b: fuzzy.similarity(fuzzy.token_sorted(a), fuzzy.token_sorted(b)) >= 80
+    wanted = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and same(a[2], b[2]) and same(a[3], b[3]) and a[4] != b[4]}
+    for size in (512, 7):
+        found = blocks.linked_within(df, ["g"], "node", ["s", "o", "ids"], consensus.same_claim(80.0, inside=False), size).collect()
+        assert {(min(r), max(r)) for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_same_names_by_table_and_one_by_one(monkeypatch):
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    few = fuzzy.same_names(names, 80.0, inside=True)
+    monkeypatch.setattr(fuzzy, "FEW", 100)
+    assert (fuzzy.same_names(names, 80.0, inside=True) == few).all() and few.sum() > 60
+
+
+def test_bootstrap_of_repeated_rows(spark):
+    rows = [("a", 0.0)] * 300 + [("a", 1.0)] * 300 + [("b", 0.0)] * 8 + [("b", 1.0)] * 8 + [("c", None)]
+    found = {r["g"]: r for r in profiles.bootstrap(spark.createDataFrame(rows, "g string, score double"), "g").collect()}
+    assert abs(found["a"]["low"] - 0.46) < 0.01 and abs(found["a"]["high"] - 0.54) < 0.01
+    assert abs(found["b"]["low"] - 0.25) < 0.05 and abs(found["b"]["high"] - 0.75) < 0.05 and found["b"]["n"] == 16
+
+
 def test_gold_by_name(spark):
     own = spark.createDataFrame([("Rett syndrome", ["RTT"]), ("Becker dystrophy", [])], "name string, synonyms array<string>")
     gold_ = spark.createDataFrame([("rett syndrome",), ("rtt",), ("becker distrophy",), ("none such",)], "name string")
