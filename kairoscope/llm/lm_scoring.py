@@ -20,7 +20,9 @@ whole, in blocks.
 
 from __future__ import annotations
 
+import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -44,10 +46,8 @@ KNOWN = 1 << 16
 WORDS_KEPT = 400_000
 BLOCK = 1 << 20
 UNSEEN = 0.5
-
-
-def far(classes: np.ndarray) -> np.ndarray:
-    return np.where(classes > 0, 1 + classes % (FAR - 1), 0)
+#: The coarser class of each class.
+FAR_OF = np.array([0, *(1 + c % (FAR - 1) for c in range(1, NEAR))], dtype=np.int32)
 
 
 def bucket(word: bytes) -> int:
@@ -59,33 +59,37 @@ class Vocabulary(dict):
 
     def __init__(self, known: Iterable[tuple[bytes, int]], sizes: dict[int, int]) -> None:
         super().__init__()
-        self.sizes = sizes
-        self.classes, self.part, self.hashes = np.empty(KNOWN, np.int32), np.empty(KNOWN), np.zeros(KNOWN, np.int64)
+        self.less = [0.0 if c <= FREQUENT else math.log(max(1, sizes.get(c, 1))) for c in range(NEAR)]
+        self._classes, self._part, self._hashes = array("i"), array("d"), array("q")
         for i, (word, n) in enumerate(known):
-            self.add(word, 1 + i if i < FREQUENT else bucket(word), n, 0)
+            class_ = 1 + i if i < FREQUENT else bucket(word)
+            self._add(word, class_, 0.0 if i < FREQUENT else math.log(n) - self.less[class_], 0)
         self.known = len(self)
 
-    def add(self, word: bytes, class_: int, n: float, hash_: int) -> int:
-        at = len(self)
-        if at == len(self.classes):
-            self.classes, self.part, self.hashes = (np.concatenate([x, x]) for x in (self.classes, self.part, self.hashes))
-        own = 1 <= class_ <= FREQUENT
-        self.classes[at], self.part[at], self.hashes[at] = class_, 0.0 if own else np.log(n) - np.log(self.sizes.get(class_, 1)), hash_
-        self[word] = at
+    def _add(self, word: bytes, class_: int, part: float, hash_: int) -> int:
+        self[word] = at = len(self._classes)
+        self._classes.append(class_)
+        self._part.append(part)
+        self._hashes.append(hash_)
         return at
 
     def __missing__(self, word: bytes) -> int:
-        hash_ = xxhash.xxh64_intdigest(word, 42)
-        return self.add(word, bucket(word), 1.0, hash_ - (1 << 64) if hash_ >> 63 else hash_)
+        class_, hash_ = bucket(word), xxhash.xxh64_intdigest(word, 42)
+        return self._add(word, class_, -self.less[class_], hash_ - (1 << 64) if hash_ >> 63 else hash_)
+
+    def of(self, name: str, numbers_: np.ndarray) -> np.ndarray:
+        """classes, part or hashes of words by their numbers."""
+        held = getattr(self, f"_{name}")
+        return np.frombuffer(held, dtype=held.typecode)[numbers_] if len(held) else np.empty(0, held.typecode)
 
-    def trimmed(self) -> Vocabulary:
-        """This, or a new one with the known words alone, if it has grown beyond its bound."""
-        if len(self) - self.known <= WORDS_KEPT:
-            return self
-        fresh = Vocabulary([], self.sizes)
-        fresh.update(dict(list(self.items())[: self.known]))
-        fresh.classes, fresh.part, fresh.hashes, fresh.known = self.classes[:KNOWN].copy(), self.part[:KNOWN].copy(), self.hashes[:KNOWN].copy(), self.known
-        return fresh
+    def trim(self) -> None:
+        """Forgets all but the known words, if they have grown beyond the bound."""
+        if len(self) - self.known > WORDS_KEPT:
+            known = list(self)[: self.known]
+            self.clear()
+            self.update(zip(known, range(self.known), strict=True))
+            for held in (self._classes, self._part, self._hashes):
+                del held[self.known :]
 
 
 def numbers(text: bytes | None, vocabulary: Vocabulary) -> np.ndarray:
@@ -98,7 +102,7 @@ def windows(classes: np.ndarray) -> np.ndarray:
     """Two tokens to the left, the token and two to the right, for each token, as one number."""
     padded = np.zeros(len(classes) + 4, dtype=np.int32)
     padded[2:-2] = classes
-    outer = far(padded).astype(np.int32)
+    outer = FAR_OF[padded]
     return (((outer[:-4] * NEAR + padded[1:-3]) * NEAR + padded[2:-2]) * NEAR + padded[3:-1]) * FAR + outer[4:]
 
 
@@ -197,27 +201,37 @@ def train(docs: DataFrame) -> dict:
         sizes[bucket(word)] -= n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, found = Vocabulary(known, sizes), np.zeros(WINDOWS, dtype=np.uint32)
+        vocabulary, found, held, size = Vocabulary(known, sizes), np.zeros(WINDOWS, dtype=np.uint32), [], 0
+
+        def flush() -> None:
+            seen, n = np.unique(np.concatenate([*held, np.empty(0, np.int32)]), return_counts=True)
+            found[seen] += n.astype(np.uint32)
+            held.clear()
+
         for batch in batches:
             for text in batch.column(0):
                 if len(own := numbers(text.as_py(), vocabulary)):
-                    np.add.at(found, windows(vocabulary.classes[own]), 1)
-                vocabulary = vocabulary.trimmed()
+                    held.append(windows(vocabulary.of("classes", own)))
+                    if (size := size + len(own)) > BLOCK:
+                        flush()
+                        size = 0
+                vocabulary.trim()
+        flush()
         at = np.flatnonzero(found)
         for begin in range(0, len(at), BLOCK):
             part = at[begin : begin + BLOCK]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(found[part].astype(np.int64))], names=["window", "n"])
 
-    size = NEAR * NEAR * FAR
+    row_size = NEAR * NEAR * FAR
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        row = np.zeros(size, dtype=np.float32)
-        row[group["window"].to_numpy() % size] = group["n"]
-        return pd.DataFrame({"left": [int(group["window"].iloc[0]) // size], "packed": [zlib.compress(row.tobytes(), 1)]})
+        row = np.zeros(row_size, dtype=np.float32)
+        row[group["window"].to_numpy() % row_size] = group["n"]
+        return pd.DataFrame({"left": [int(group["window"].iloc[0]) // row_size], "packed": [zlib.compress(row.tobytes(), 1)]})
 
     summed = _texts(docs).mapInArrow(count, "window int, n long").groupBy("window").agg(F.sum("n").alias("n"))
-    rows = summed.groupBy(F.expr(f"window div {size}").alias("g")).applyInPandas(pack, "left int, packed binary").collect()
-    counts = np.zeros((FAR * NEAR, size), dtype=np.float32)
+    rows = summed.groupBy(F.expr(f"window div {row_size}").alias("g")).applyInPandas(pack, "left int, packed binary").collect()
+    counts = np.zeros((FAR * NEAR, row_size), dtype=np.float32)
     for r in rows:
         counts[r["left"]] = np.frombuffer(zlib.decompress(r["packed"]), dtype=np.float32)
     return {"known": known, "sizes": sizes, "words": words, "network": train_counts(counts.reshape(FAR, NEAR, NEAR, NEAR, FAR))}
@@ -234,10 +248,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             for text in batch.column(2):
                 own = numbers(text.as_py(), vocabulary)
                 n.append(len(own))
-                sums.append(float(table[windows(vocabulary.classes[own])].sum(dtype=np.float64) + vocabulary.part[own].sum()) if len(own) else 0.0)
-                hashes = vocabulary.hashes[own]
+                sums.append(float(table[windows(vocabulary.of("classes", own))].sum(dtype=np.float64) + vocabulary.of("part", own).sum()) if len(own) else 0.0)
+                hashes = vocabulary.of("hashes", own)
                 others.append(hashes[hashes != 0])
-                vocabulary = vocabulary.trimmed()
+                vocabulary.trim()
             edges = np.cumsum([0, *map(len, others)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([*others, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), lists], names=["row", "doc_id", "n_tokens", "s", "others"])

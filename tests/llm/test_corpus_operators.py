@@ -195,13 +195,14 @@ def test_lm_gradient_and_training():
 
 def test_lm_vocabulary_forgets(monkeypatch):
     monkeypatch.setattr(lm_scoring, "WORDS_KEPT", 3)
-    monkeypatch.setattr(lm_scoring, "KNOWN", 4)
     v = lm_scoring.Vocabulary([(b"a", 9), (b"b", 7)], {lm_scoring.bucket(b"c"): 5})
     own = lm_scoring.numbers(b"a b c d e f g h a", v)
-    assert list(own) == [0, 1, 2, 3, 4, 5, 6, 7, 0] and list(v.hashes[own] == 0) == [True, True, *[False] * 6, True]
-    assert int(v.hashes[2]) % 2**64 == xxhash.xxh64_intdigest(b"c", 42)
-    v = v.trimmed()
-    assert list(v) == [b"a", b"b"] and list(lm_scoring.numbers(b"a z b", v)) == [0, 2, 1] and v.hashes[0] == 0
+    assert list(own) == [0, 1, 2, 3, 4, 5, 6, 7, 0] and list(v.of("hashes", own) == 0) == [True, True, *[False] * 6, True]
+    assert int(v.of("hashes", own)[2]) % 2**64 == xxhash.xxh64_intdigest(b"c", 42) and np.isclose(v.of("part", own)[2], -np.log(5))
+    v.trim()
+    assert list(v) == [b"a", b"b"]
+    own = lm_scoring.numbers(b"a z b", v)
+    assert list(own) == [0, 2, 1] and list(v.of("classes", own)) == [1, lm_scoring.bucket(b"z"), 2]
 
 
 def test_simhash(documents, awkward, nothing):
