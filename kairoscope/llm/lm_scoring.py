@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from kairoscope.llm.common import stored
 
 #: Classes of words (0 is outside), and coarser ones of the words two away.
-FREQUENT, BUCKETS, FAR = 39, 24, 8
+FREQUENT, BUCKETS, FAR = 39, 24, 4
 NEAR = 1 + FREQUENT + BUCKETS
 WINDOWS = FAR * NEAR * NEAR * NEAR * FAR
 HIDDEN, EPOCHS, RATE = 24, 30, 0.05
@@ -137,26 +137,26 @@ def loss_and_gradient(p: dict[str, np.ndarray], counts: np.ndarray) -> tuple[flo
     for i in range(outer):
         for j in range(near):
             seen = counts[i, j].reshape(near, -1).T.astype(right.dtype)  # right and outer right, token
-            rows = np.flatnonzero(seen.any(axis=1))
-            if not len(rows):
-                continue
-            seen = seen[rows]
             weight = seen.sum(axis=1, keepdims=True)
-            h = np.tanh(right[rows] + p["F"][i] + p["L"][j])
+            if not weight.any():
+                continue
+            h = np.tanh(right + p["F"][i] + p["L"][j])
             z = h @ p["W"].T + p["o"]
             z -= z.max(axis=1, keepdims=True)
-            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-            loss -= float((seen * z).sum(dtype=np.float64))
-            d = (np.exp(z) * weight - seen) / np.array(total, dtype=right.dtype)
+            odds = np.exp(z)
+            sums = odds.sum(axis=1, keepdims=True)
+            loss -= float((seen * z).sum(dtype=np.float64) - (weight * np.log(sums)).sum(dtype=np.float64))
+            d = (odds * (weight / sums) - seen) / np.array(total, dtype=right.dtype)
             dh = (d @ p["W"]) * (1 - h * h)
             grad["W"] += d.T @ h
             grad["o"] += d.sum(axis=0)
+            by_right = dh.reshape(near, outer, -1)
+            grad["R"] += by_right.sum(axis=1)
+            grad["G"] += by_right.sum(axis=0)
             whole = dh.sum(axis=0)
-            for name, at in (("F", i), ("L", j)):
-                grad[name][at] += whole
+            grad["F"][i] += whole
+            grad["L"][j] += whole
             grad["b"] += whole
-            np.add.at(grad["R"], rows // outer, dh)
-            np.add.at(grad["G"], rows % outer, dh)
     return loss / total, grad
 
 
