@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairoscope.queries import analytics, edges, files, graphs, questions, texts
+from kairoscope.queries import analytics, edges, files, graphs, questions, studies, texts
 
-FAMILIES = (edges, graphs, analytics, texts, questions, files)
+FAMILIES = (edges, graphs, analytics, texts, questions, files, studies)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE = {name: sql for family in FAMILIES for name, sql in family.ORACLE.items()}
 

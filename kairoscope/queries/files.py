@@ -386,7 +386,7 @@ WITH v AS (SELECT *, {_REASON} AS z FROM {_RAW})
 SELECT 'profile ' || l_partkey % 8 AS part, count(*) AS n FROM v WHERE z IS NULL GROUP BY 1 UNION ALL SELECT z, count(*) FROM v WHERE z IS NOT NULL GROUP BY 1 UNION ALL SELECT 'report', count(*) FROM v WHERE z IS NULL""",
     "q_quality_report": f"""
 WITH v AS (SELECT r, count(*) AS n_input, count(*) FILTER ({_REASON} IS NULL) AS n_valid FROM {_RAW} GROUP BY 1)
-SELECT r AS relation, n_input, n_valid, nullif(n_valid, 0) AS n_edges, CASE WHEN n_valid / n_input >= 0.8 THEN 'A' WHEN n_valid / n_input >= 0.6 THEN 'B' ELSE 'C' END AS valid_grade FROM v""",
+SELECT r AS relation, n_input, n_valid, nullif(n_valid, 0) AS n_edges, CASE WHEN n_valid / n_input >= 0.9 THEN 'A' WHEN n_valid / n_input >= 0.7 THEN 'B' ELSE 'C' END AS valid_grade FROM v""",
     "q_edge_json": f"SELECT {t.ID_SQL} AS edge_id, {t.RELATION_SQL} AS relation, l_shipdate::DATE::VARCHAR AS discovered, l_orderkey::VARCHAR AS source, {t.ORD_SQL} AS ord FROM lineitem",
     "q_evidence_nodes": f"SELECT 'drug' AS type, count(*) AS n, count(DISTINCT l_partkey) AS n_ids FROM lineitem UNION ALL SELECT 'disease', count(*), count(DISTINCT l_suppkey) FROM lineitem UNION ALL SELECT 'evidence', count(*), count(DISTINCT {t.ID_SQL}) FROM lineitem",
     "q_write_vectors": "SELECT 'textbook' AS source_type, count(*) AS count FROM documents WHERE text IS NOT NULL",

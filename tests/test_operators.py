@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kairoscope import model
 from kairoscope.functions import ages, fuzzy, parse, scores, text
-from kairoscope.operators import benchmark, blocks, chunks, components, consensus, diagnosis, evidence, gold, graph, matching, profiles, quality, temporal, vectors
+from kairoscope.operators import benchmark, blocks, chunks, components, consensus, diagnosis, evidence, gold, graph, matching, profiles, quality, studies, temporal, vectors
 from kairoscope.plans import pipelines
 from kairoscope.sources import files, sinks
 from kairoscope.streaming import quality as streams
@@ -459,3 +459,29 @@ def test_vocabulary_and_batches(spark):
     assert tuple(evidence.batch_summary(done).first())[:3] == (3, 2, 1)
     paths = spark.createDataFrame([("a/x.json",), ("a/x.json.gz",), ("b/x.json",)], "path string")
     assert sorted(r["path"] for r in evidence.preferred(paths).collect()) == ["a/x.json.gz", "b/x.json"]
+
+
+def test_studies(spark):
+    details = spark.createDataFrame([("d", "a long text of nothing in particular", 1), ("d", "begins at age 3", 2), ("d", "in infancy it shows", 3), ("e", "short", 4), ("f", None, 5)], "disease_id string, evidence_text string, ord long")
+    assert [(r["disease_id"], r["ord"]) for r in studies.best_detail(details).collect()] == [("d", 3)]
+    runs = spark.createDataFrame([("x", 0.1, 0.0, 1.0), ("x", 0.3, 0.0, 1.0), ("x", None, None, None)], "c string, mrr double, hits_1 double, hits_10 double")
+    r = studies.seed_summary(runs, "c").first()
+    assert r["n_seeds"] == 2 and r["mrr_mean"] == pytest.approx(0.2) and r["mrr_std"] == pytest.approx(0.1)
+    kg = spark.createDataFrame([("1200_1134_1200",), ("5",)], "x_id string")
+    assert sorted(r["disease_id"] for r in studies.component_ids(kg).collect()) == ["MONDO:0000005", "MONDO:0001134", "MONDO:0001200"]
+    candidates = spark.createDataFrame([(1, "A", "d", "D"), (1, "B", "e", "E"), (1, "C", "f", "F")], "case_id int, letter string, disease string, name string")
+    phenotypes = spark.createDataFrame([("d", f"p{i:02d}") for i in range(20)] + [("e", "q")], "disease string, phenotype string")
+    windows = spark.createDataFrame([("d", "p01", 1.0, 2.0, 1), ("d", "p01", 5.0, 5.0, 0), ("d", "p00", 3.4, 3.4, 2)], "disease string, phenotype string, onset_min double, onset_max double, ord long")
+    c = studies.case_contexts(candidates, phenotypes, windows).first()
+    assert len(c["static_context"].split("\n")[0].split(", ")) == 15 and c["static_context"].endswith("C. F: No phenotype data available in this knowledge base")
+    assert c["temporal_context"] == "A. D: p00 (onset: 3y), p01 (onset: 5y)\nB. E: Phenotypes: q (no onset age data)\nC. F: No data available"
+    facts = spark.createDataFrame([(f"d{i}", f"x{j}") for i in range(12) for j in range(i % 3 + 1)] + [("z", f"y{j}") for j in range(9)], "disease string, item string")
+    known = {(r["disease"], r["item"]) for r in facts.collect()}
+    asked = studies.static_questions(facts, "drug").collect()
+    assert asked and all(len(set(q["options"])) == 4 and [(q["disease"], o) in known for o in q["options"]].count(True) == 1 and q["options"]["ABCD".index(q["letter"])] == q["answer"] for q in asked)
+    own = spark.createDataFrame([("d", "D", 1.0, 50.0, 12), ("e", "E", 2.0, 3.0, 1), ("f", "F", 0.0, 3.0, 2)], "disease_id string, name string, onset_min double, onset_max double, n_sources int")
+    ref = spark.createDataFrame([(x, "s", 1.0, 10.0) for x in "def"], "disease_id string, source string, ref_min double, ref_max double")
+    assert {(r["disease_id"], r["answer"], r["direction"]) for r in studies.extensions(own, ref).collect()} == {("d", "Yes", "older"), ("e", "No", "none")}
+    onsets = spark.createDataFrame([("rett", "ataxia", 3, 1.0, 2.5), ("rett", "birth sign", 2, 0.0, 0.05), ("rett", "once", 1, 1.0, 1.0)], "disease string, phenotype string, n_cases int, onset_min double, onset_max double")
+    ids = spark.createDataFrame([("Rett", "MONDO:1")], "name string, disease_id string")
+    assert {r["answer"] for r in studies.case_questions(onsets, ids).collect()} == {"Age 1.0-2.5 years (from 3 cases).", "At birth / congenital (from 2 cases)."}
