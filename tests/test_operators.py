@@ -13,6 +13,7 @@ from kairoscope import model
 from kairoscope.functions import ages, fuzzy, parse, scores, text
 from kairoscope.operators import benchmark, blocks, chunks, components, consensus, diagnosis, evidence, gold, graph, matching, profiles, quality, studies, temporal, vectors
 from kairoscope.plans import pipelines
+from kairoscope.queries import tables
 from kairoscope.sources import files, sinks
 from kairoscope.streaming import quality as streams
 
@@ -485,3 +486,14 @@ def test_studies(spark):
     onsets = spark.createDataFrame([("rett", "ataxia", 3, 1.0, 2.5), ("rett", "birth sign", 2, 0.0, 0.05), ("rett", "once", 1, 1.0, 1.0)], "disease string, phenotype string, n_cases int, onset_min double, onset_max double")
     ids = spark.createDataFrame([("Rett", "MONDO:1")], "name string, disease_id string")
     assert {r["answer"] for r in studies.case_questions(onsets, ids).collect()} == {"Age 1.0-2.5 years (from 3 cases).", "At birth / congenital (from 2 cases)."}
+
+
+def test_line_item_numbers_beyond_a_long(spark):
+    """The number is the SQL's in the range of a long; beyond it rows stay apart, in order within a span, and nothing overflows."""
+    keys = [(0, 1, 5, 7, 3), (149_999, 7, 19_999, 999, 50), (-3, 1, 5, 7, 3), (1_808_504, 1, 1, 1, 1), (1_808_504, 3, 1_199_999, 59_999, 50), (1_808_504, 4, 0, 0, 0), (1_808_505, 1, 5, 7, 3), (1_808_505, 1, 5, 8, 3), (8_999_999, 7, 1_199_999, 59_999, 50), (9_000_000_000, 1, 5, 7, 3), (1_808_504, 3, 21_000_000, 59_999, 50)]
+    rows = spark.createDataFrame([(*k[:4], float(k[4])) for k in keys], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
+    exact = [(((o * 10 + n) * 1_000_000 + p) * 10_000 + s) * 51 + q for o, n, p, s, q in keys]
+    found = [r["x"] for r in rows.coalesce(1).select(tables.ord_().alias("x")).collect()]
+    assert found == [v if abs(v) < tables.WRAP else v % tables.WRAP for v in exact]
+    assert max(exact) > 2**63 and len(set(found)) == len(keys) and all(v % 50 == x % 50 for v, x in zip(exact, found, strict=True))
+    assert rows.limit(1).selectExpr("cast(null as long) l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").select(tables.ord_().alias("x")).first()["x"] is None
