@@ -421,6 +421,38 @@ def test_containing_is_complete(spark):
     assert matching.containing(asked, stock, 2).filter("mention = 'A'").count() == 2
 
 
+def test_containing_ranks_for_each_mention(spark):
+    """Two wordings of one name each get their own first names; names that share three letters and no more don't meet."""
+    stock = spark.createDataFrame([(x, x, "", x) for x in ("ab1", "ab2", "ab3", "abcdefghij", "abcdefghijk")], "name_key string, node_id string, node_type string, node_name string")
+    asked = spark.createDataFrame([("AB",), ("ab",), ("ABCDEFGHIJ",)], "mention string")
+    found = sorted((r["mention"], r["rank"], r["name_key"]) for r in matching.containing(asked, stock, 2).collect())
+    assert found == [("AB", 1, "ab1"), ("AB", 2, "ab2"), ("ABCDEFGHIJ", 1, "abcdefghij"), ("ABCDEFGHIJ", 2, "abcdefghijk"), ("ab", 1, "ab1"), ("ab", 2, "ab2")]
+    assert "abcd" in spark.range(1).select(F.explode(matching.grams(F.lit("xabcd"))).alias("g")).toPandas()["g"].tolist()
+
+
+def test_confirmation_by_candidates_of_either_end(spark):
+    """Candidates of both ends against all pairs, for names that are several nodes, and in both orders."""
+    rng = random.Random(3)
+    edges = [("r", "", x, "drug", x, "t", y, "disease", y, "t") for x, y in sorted({(str(rng.randrange(300)), str(rng.randrange(60))) for _ in range(60)})]
+    rows = [(str(rng.randrange(300)), "r", str(rng.randrange(60)), i) for i in range(200)] + [(e[2], "r", e[6], 200 + i) for i, e in enumerate(edges[:5])]
+    nodes = sorted({(n, k) for e in edges for n, k in ((e[2], "drug"), (e[6], "disease"))})
+    near = {m: {n for n, _ in [x for x in nodes if m in x[0] or x[0] in m][:10]} for row in rows for m in (row[0], row[2])}
+    ahead = {(e[2], e[6]) for e in edges}
+
+    def wanted(x, y):
+        if (x, y) in ahead or (y, x) in ahead:
+            return "exact", (x, y) not in ahead
+        hits = [(a, b) not in ahead for a in near[x] for b in near[y] if (a, b) in ahead or (b, a) in ahead]
+        return ("fuzzy_name", min(hits)) if hits else (None, None)
+
+    kg = spark.createDataFrame(edges, model.KG_EDGES)
+    for turned in (False, True):
+        asked = [(y, r, x, i) if turned else (x, r, y, i) for x, r, y, i in rows]
+        found = {r["ord"]: (r["match_type"], r["reversed"]) for r in matching.confirmed(spark.createDataFrame(asked, "subject string, relation string, object string, ord long"), kg).collect()}
+        assert found == {i: wanted(x, y) for x, _, y, i in asked}
+        assert {v[0] for v in found.values()} == {"exact", "fuzzy_name", None}
+
+
 def test_linked_within_blocks(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice(["g", "h", None]), rng.choice(["alpha beta", "beta alpha", "alpha betta", "gamma"]), rng.choice(["one thing", "one thingg", "other"]), [str(rng.randrange(4))]) for i in range(90)]
