@@ -529,3 +529,11 @@ def test_line_item_numbers_beyond_a_long(spark):
     assert found == [v if abs(v) < tables.WRAP else v % tables.WRAP for v in exact]
     assert max(exact) > 2**63 and len(set(found)) == len(keys) and all(v % 50 == x % 50 for v, x in zip(exact, found, strict=True))
     assert rows.limit(1).selectExpr("cast(null as long) l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").select(tables.ord_().alias("x")).first()["x"] is None
+
+
+def test_edge_json_is_compressed(spark):
+    """The export is several hundred bytes an edge, and mostly names of fields."""
+    from kairoscope.queries import files as scans
+
+    files_of = scans.QUERIES["q_edge_json"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files_of and all(f.endswith(".gz") for f in files_of)
