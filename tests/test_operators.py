@@ -190,6 +190,20 @@ def test_search_depths(spark):
     assert found.filter("question_id = 2 AND NOT insufficient_evidence").count() == 0
 
 
+def test_retrieval_reads_whole_edges_only_for_what_it_found(spark, monkeypatch):
+    held, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: held.append(df.columns) or stored(df, name))
+    rows = [(a, "disease", "r", b, "disease", None, None, ["1"], c) for a, b, c in (("rett", "b", 0.1), ("B", "c", 0.9), ("c", "d", 0.5), ("rett", "x", 0.2), ("rett", "y", 0.8))]
+    ids = F.when(F.col("ord") < 3, F.concat(F.lit("e"), F.col("ord").cast("string"))).otherwise("e9")  # the last two share an id: the later one counts
+    edges = edge_rows(spark, rows).withColumn("edge_id", ids)
+    asked = spark.createDataFrame([(1, "rett"), (2, "zzzz")], "question_id int, question string")
+    for most in (None, 2):
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", 0 if most is None else 100, raising=False)
+        found = graph.retrieve(asked, edges, 1, most)
+        assert {(r["question_id"], r["edge_id"], r["target_name"], r["rank"]) for r in found.collect()} == set([(1, "e1", "c", 1), (1, "e9", "y", 2), (1, "e0", "b", 3)][:most]) | {(2, None, None, None)}
+    assert not any("evidence" in columns for columns in held)
+
+
 def test_ages(spark):
     assert value(spark, ages.window(F.lit("2"), F.lit("junk"))) == (2.0, 2.0) and value(spark, ages.window(F.lit(None), F.lit("3"))) is None
     assert value(spark, ages.overlaps(F.lit(1), F.lit(2), F.lit(2), F.lit(3))) and not value(spark, ages.contained(F.lit(1), F.lit(2), F.lit(2), F.lit(3)))
