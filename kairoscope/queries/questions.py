@@ -50,7 +50,7 @@ def ordering(spark: SparkSession, sf: str) -> DataFrame:
 def phenotype_edges(spark: SparkSession, sf: str) -> DataFrame:
     li, part = t.table(spark, sf, "lineitem"), t.table(spark, sf, "part")
     both = li.join(part, li["l_partkey"] == part["p_partkey"])
-    return both.select(F.col("l_suppkey").alias("disease_id"), F.col("p_type").alias("phenotype"), F.col("l_linestatus").alias("stage"), F.col("l_quantity").alias("onset_min"), (F.col("l_quantity") + 5).alias("onset_max"), F.col("l_shipdate").cast("date").alias("discovery_date"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("source_name"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("target_name"), t.relation(F.col("l_returnflag")).alias("relation"), t.ord_().alias("ord"))
+    return both.select(F.col("l_suppkey").alias("disease_id"), F.col("p_type").alias("phenotype"), F.col("l_linestatus").alias("stage"), F.col("l_quantity").alias("onset_min"), (F.col("l_quantity") + 5).alias("onset_max"), F.col("l_shipdate").cast("date").alias("discovery_date"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("source_name"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("target_name"), t.relation(F.col("l_returnflag")).alias("relation"), t.place().alias("ord"))
 
 
 def stages(spark: SparkSession, sf: str) -> DataFrame:

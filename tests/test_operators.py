@@ -545,6 +545,24 @@ def test_line_item_numbers_beyond_a_long(spark):
     assert rows.limit(1).selectExpr("cast(null as long) l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").select(tables.ord_().alias("x")).first()["x"] is None
 
 
+@pytest.fixture
+def late(spark, tmp_path):
+    """Line items on both sides of where ORD_SQL leaves a long, each of one day, relation and pair with another."""
+    keys = [(order, n, 1, 2, "RA"[i % 2], i % 2) for i, (order, n) in enumerate((o, n) for o in (1_808_500, 1_808_503, 1_808_506, 1_808_509) for n in (1, 2))]
+    spark.createDataFrame([(o, p, s, n, 3.0, 1.0, 0.05, 0.02, f, "O", dt.datetime(1996, 1, 1 + d)) for o, n, p, s, f, d in keys], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "x", "b", "t", 1)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_late_line_items_keep_their_order(spark, late):
+    """Of one day the first by ORD_SQL comes first, also where the number no longer fits a long."""
+    from kairoscope.queries import questions
+
+    place = questions.phenotype_edges(spark, late).select("ord").orderBy("ord").collect()
+    exact = [((((o * 10 + n) * 1_000_000 + 1) * 10_000 + 2) * 51 + 3) for o in (1_808_500, 1_808_503, 1_808_506, 1_808_509) for n in (1, 2)]
+    assert [int(r["ord"]) for r in place] == exact
+
+
 def test_edge_json_is_compressed(spark):
     """The export is several hundred bytes an edge, and mostly names of fields."""
     from kairoscope.queries import files as scans
