@@ -96,11 +96,11 @@ def confirm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def supersession(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.contradictions(t.edges(spark, sf)).select("old_edge_id", "new_edge_id", "reason", F.col("old_discovery_date").cast("string").alias("old_date"), F.col("new_discovery_date").cast("string").alias("new_date"))
+    return temporal.contradictions(t.edges(spark, sf, t.place)).select("old_edge_id", "new_edge_id", "reason", F.col("old_discovery_date").cast("string").alias("old_date"), F.col("new_discovery_date").cast("string").alias("new_date"))
 
 
 def reasoned(spark: SparkSession, sf: str) -> DataFrame:
-    done, _, _ = temporal.reason(t.edges(spark, sf), F.lit(t.AS_OF).cast("date"))
+    done, _, _ = temporal.reason(t.edges(spark, sf, t.place), F.lit(t.AS_OF).cast("date"))
     return done.filter("temporal.superseded_by IS NOT NULL").select("edge_id", F.col("temporal.superseded_by").alias("superseded_by"), F.col("temporal.validity_start").cast("string").alias("starts"), F.col("temporal.validity_end").cast("string").alias("ends"))
 
 

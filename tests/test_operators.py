@@ -563,6 +563,14 @@ def test_late_line_items_keep_their_order(spark, late):
     assert [int(r["ord"]) for r in place] == exact
 
 
+@pytest.mark.parametrize("query", ["q_supersession", "q_reasoning"])
+def test_late_line_items_supersede_in_order(spark, late, query):
+    """Of one day the first by ORD_SQL is ended, and by the first, also where the number no longer fits a long."""
+    from kairoscope.queries import QUERIES
+
+    assert [tuple(r)[:2] for r in QUERIES[query](spark, late).collect()] == [("1808500-1-1-2-3", "1808500-2-1-2-3")]
+
+
 def test_edge_json_is_compressed(spark):
     """The export is several hundred bytes an edge, and mostly names of fields."""
     from kairoscope.queries import files as scans
