@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kairoscope.model import CONTRADICTORY, SUPERSEDABLE, SUPERSESSION_PHRASES
 from kairoscope.operators import quality
+from kairoscope.operators.graph import few
+from kairoscope.storage import stored
 
 EVENT = ("old_edge_id", "new_edge_id", "reason", "old_discovery_date", "new_discovery_date", "ord")
 
@@ -55,13 +57,15 @@ def supersessions(edges: DataFrame) -> DataFrame:
 def superseded(edges: DataFrame, events: DataFrame) -> DataFrame:
     """Edges with validity_end and superseded_by of the last event that ends them: updates after contradictions, then by ord.
 
-    An id that several edges share is ended on the first of them.
+    An id that several edges share is ended on the first of them. Where few end, no edge is dealt out.
     """
     last = events.groupBy(F.col("old_edge_id").alias("edge_id")).agg(F.max(F.struct((F.col("reason") == "updated_treatment").alias("u"), "ord", "new_edge_id", "new_discovery_date")).alias("x"))
-    first = edges.groupBy("edge_id").agg(F.min("ord").alias("ord"))
-    ends = last.join(first, "edge_id").select("ord", F.col("x.new_discovery_date").alias("ended"), F.col("x.new_edge_id").alias("by"))
+    last = stored(last, "ended")
+    n = last.count()
+    first = edges.join(few(last.select("edge_id"), n), "edge_id", "left_semi").groupBy("edge_id").agg(F.min("ord").alias("ord"))
+    ends = stored(last.join(first, "edge_id").select("ord", F.col("x.new_discovery_date").alias("ended"), F.col("x.new_edge_id").alias("by")), "ends")
     t = F.col("temporal")
-    return edges.join(ends, "ord", "left").withColumn("temporal", t.withField("validity_end", F.coalesce("ended", t["validity_end"])).withField("superseded_by", F.coalesce("by", t["superseded_by"]))).drop("ended", "by")
+    return edges.join(few(ends, n), "ord", "left").withColumn("temporal", t.withField("validity_end", F.coalesce("ended", t["validity_end"])).withField("superseded_by", F.coalesce("by", t["superseded_by"]))).drop("ended", "by")
 
 
 def reason(edges: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
