@@ -101,17 +101,20 @@ def token_sorted(text: str) -> str:
 
 def same_names(names: list[str], least: float, inside: bool) -> np.ndarray:
     """Which names are alike, as a table: token-sort similarity of at least `least`, and, if asked, one a substantial part of the other."""
-    out = np.eye(len(names), dtype=bool)
-    forms = [token_sorted(x) for x in names]
-    if len(names) <= FEW:
+    number: dict[str, int] = {}
+    at = [number.setdefault(token_sorted(x), len(number)) for x in names]
+    forms = list(number)  # wordings in another order are compared once
+    table = np.eye(len(forms), dtype=bool)
+    if len(forms) <= FEW:
         for i, a in enumerate(forms):
             for j in range(i):
                 b = forms[j]
                 if 200.0 * min(len(a), len(b)) >= least * (len(a) + len(b)) and similarity(a, b) >= least:
-                    out[i, j] = out[j, i] = True
+                    table[i, j] = table[j, i] = True
     else:
         for i, j, _ in reaching(forms, forms, least):
-            out[i, j] = True
+            table[i, j] = True
+    out = table[np.ix_(at, at)]
     if inside:
         for i, a in enumerate(names):
             for j, b in enumerate(names):

@@ -68,8 +68,9 @@ def clusters(rows: DataFrame, block: list[str], least: float = SAME, inside: boo
     return rows.join(label, equal, "left").select("ord", F.coalesce("label", "ord").alias("cluster"))
 
 
-def consensus(triples: DataFrame, *block: str, least: int = 2) -> DataFrame:
-    """One triple for each cluster on which `least` models agree: the most confident, then the longest named, then the first.
+def consensus(triples: DataFrame, *block: str, least: int = 2, first: str = "ord") -> DataFrame:
+    """One triple for each cluster on which `least` models agree: the most confident, then the longest named, then the first
+    (by the column `first`, where ord only tells triples apart).
 
     Its confidence becomes the share of the block's models that agree; its relation keeps its wording. Triples of one model
     may meet in a cluster by way of another's.
@@ -79,7 +80,7 @@ def consensus(triples: DataFrame, *block: str, least: int = 2) -> DataFrame:
     named = stored(named, "named")  # normalised once, read by the comparison and by the labels
     found = held.join(clusters(named.filter("s <> '' AND o <> ''"), [*block, "r"], inside=True), "ord", "left").withColumn("cluster", F.coalesce("cluster", "ord"))
     models = held.groupBy(*block).agg(F.count_distinct("extraction_model").alias("n_block_models"))
-    best = F.struct(F.col("confidence").cast("double"), F.length("subject") + F.length("object"), -F.col("ord"))
+    best = F.struct(F.col("confidence").cast("double"), F.length("subject") + F.length("object"), -F.col(first))
     kept = found.groupBy(*block, "cluster").agg(F.count_distinct("extraction_model").alias("n_models"), F.array_sort(F.collect_set("extraction_model")).alias("extraction_models"), F.max_by("ord", best).alias("ord")).filter(F.col("n_models") >= least)
     chosen = kept.join(models, list(block)) if block else kept.crossJoin(F.broadcast(models))
     agreed = chosen.select("ord", "n_models", "extraction_models", (F.col("n_models") / F.col("n_block_models")).alias("agreement"))

@@ -77,8 +77,8 @@ def worded(rows: DataFrame, part: Column, way: Column) -> DataFrame:
 
 def fuzzy_consensus(spark: SparkSession, sf: str) -> DataFrame:
     li = worded(t.table(spark, sf, "lineitem"), F.col("l_partkey"), F.col("l_linenumber"))
-    triples = li.select(F.col("s").alias("subject"), t.relation(F.col("l_returnflag")).alias("relation"), F.col("o").alias("object"), F.col("l_suppkey").cast("string").alias("extraction_model"), F.col("l_discount").alias("confidence"), F.col("l_partkey").alias("source_id"), t.ord_().alias("ord"))
-    return consensus.consensus(triples, "source_id").select("source_id", "relation", "ord", "n_models", F.round("confidence", 6).alias("confidence"))
+    triples = li.select(F.col("s").alias("subject"), t.relation(F.col("l_returnflag")).alias("relation"), F.col("o").alias("object"), F.col("l_suppkey").cast("string").alias("extraction_model"), F.col("l_discount").alias("confidence"), F.col("l_partkey").alias("source_id"), t.ord_().alias("ord"), t.place().alias("place"))
+    return consensus.consensus(triples, "source_id", first="place").select("source_id", "relation", "ord", "n_models", F.round("confidence", 6).alias("confidence"))
 
 
 def merge(spark: SparkSession, sf: str) -> DataFrame:

@@ -571,6 +571,24 @@ def test_late_line_items_supersede_in_order(spark, late, query):
     assert [tuple(r)[:2] for r in QUERIES[query](spark, late).collect()] == [("1808500-1-1-2-3", "1808500-2-1-2-3")]
 
 
+def test_late_line_items_agree_in_order(spark, late):
+    """Of equal triples the first by ORD_SQL is kept, also where the number no longer fits a long."""
+    from kairoscope.queries import edges
+
+    lines = spark.read.parquet(f"{late}/lineitem.parquet").withColumns({"l_suppkey": F.col("l_suppkey") + F.col("l_linenumber") % 2, "l_returnflag": F.lit("R"), "l_linenumber": F.lit(4)})
+    lines.filter("l_orderkey % 2 = 1").write.parquet(f"{late}/again/lineitem.parquet")
+    found = [r["ord"] for r in edges.fuzzy_consensus(spark, f"{late}/again").collect()]
+    assert found == [(((1_808_503 * 10 + 4) * 1_000_000 + 1) * 10_000 + 2) * 51 + 3]
+
+
+def test_wordings_in_another_order_are_compared_once(monkeypatch):
+    asked, similarity = [], fuzzy.similarity
+    monkeypatch.setattr(fuzzy, "similarity", lambda a, b: asked.append((a, b)) or similarity(a, b))
+    found = fuzzy.same_names(["alpha beta", "beta alpha", "alpha betaa", "gamma delta", "delta gamma", ""], 80.0, False)
+    assert [[int(x) for x in row] for row in found] == [[1, 1, 1, 0, 0, 0]] * 3 + [[0, 0, 0, 1, 1, 0]] * 2 + [[0, 0, 0, 0, 0, 1]]
+    assert len(asked) == 3
+
+
 def test_edge_json_is_compressed(spark):
     """The export is several hundred bytes an edge, and mostly names of fields."""
     from kairoscope.queries import files as scans
