@@ -619,6 +619,44 @@ def test_line_dedup_sketches_keep_similar_pairs():
     assert line_dedup.near(left, other).mean() < 0.6
 
 
+def test_line_dedup_is_native(documents, spark, monkeypatch):
+    """Without any Python on the executors it finds what the brute force finds."""
+    monkeypatch.setattr(type(documents), "mapInArrow", None)
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    found = {(r["doc_id"], i) for r in line_dedup.decide(documents).collect() for i in r["dropped"]}
+    wanted = brute_lines(rows)
+    assert not found - wanted and len(found) >= 0.99 * len(wanted)
+
+
+def test_line_dedup_forms_agree(documents):
+    native, arrow = ({(r["doc_id"], i) for r in line_dedup.decide(documents, native=n).collect() for i in r["dropped"]} for n in (True, False))
+    assert len(native ^ arrow) <= 0.01 * len(arrow)
+
+
+def test_line_dedup_native_signatures_find_real_pairs(spark):
+    """Native keys find pairs of 0.8 to 0.9 of short and long lines as the bands promise, and native sketches keep them; chance pairs seldom."""
+    rng = random.Random(12)
+    drawn = [near_copies(rng, rng.choice((8, 25, 45, 70, 150, 400))) for _ in range(9000)] + [(f"{t} {i}" * 40, f"{t} {i}" * 60 + "!", 0.9) for i, t in enumerate(["ab", "漢字 ß", "x", "a longer unit of text"] * 9)]
+    pairs = [x for x in drawn if 0.8 <= x[2] < 1]
+    texts = spark.createDataFrame([(2 * i + j, x[j]) for i, x in enumerate(pairs) for j in (0, 1)], "k long, line string")
+    found = {r["k"]: r for r in line_dedup.signed(texts).collect()}
+    met = [any(a == b for a, b in zip(found[2 * i]["keys"], found[2 * i + 1]["keys"], strict=True)) for i in range(len(pairs))]
+    assert len(pairs) > 1500 and len(found) == 2 * len(pairs) and np.mean(met) >= 0.99
+    apart = lambda x, y: (((x["b0"] ^ y["b0"]) | (x["b1"] ^ y["b1"]) | (x["b2"] ^ y["b2"]) | (x["b3"] ^ y["b3"])) & x["mask"] & y["mask"] & 2**64 - 1).bit_count()
+    assert np.mean([apart(found[2 * i], found[2 * i + 1]) <= line_dedup.MOST_APART for i in range(len(pairs))]) > 0.999
+    long = [i for i, x in enumerate(pairs) if len(x[0]) >= 150]
+    assert np.mean([apart(found[2 * i], found[2 * j]) <= line_dedup.MOST_APART for i, j in zip(long, long[1:], strict=False)]) < 0.1
+    assert not any(set(found[2 * i]["keys"]) & set(found[2 * j]["keys"]) for i, j in zip(long, long[1:], strict=False))
+
+
+def test_line_dedup_native_likeness_is_exact(spark):
+    rng = random.Random(13)
+    rows = [near_copies(rng, rng.choice((1, 3, 5, 9, 60, 3000))) for _ in range(600)] + [("漢字 😀 abc", "漢字 😀 abcd", 6 / 7), ("aaaaaaa", "aaaaa", 1.0), ("ab", "abc", 0.0)]
+    texts = spark.createDataFrame([(2 * i + j, x[j]) for i, x in enumerate(rows) for j in (0, 1)], "k long, line string")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(len(rows))], "a long, b long")
+    assert {r["a"] // 2 for r in line_dedup.similar(pairs, texts).collect()} == {i for i, x in enumerate(rows) if x[2] >= line_dedup.LEAST}
+
+
 def test_warc_round_trip(spark, nothing):
     rows = [(1, "http://a/é b", "<p>x"), (2, None, "<p>x"), (None, "http://n", "<p>x"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "ü" * 70_000), (2, None, "<p>x"), (6, "u", "WARC/1.1\r\n\r\n")]
     pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, digest string, payload int")
