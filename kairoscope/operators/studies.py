@@ -75,8 +75,8 @@ def best_detail(details: DataFrame, key: str = "disease_id", least: int = 10) ->
     return whole.groupBy(key).agg(F.max_by(row, F.struct(timed, F.length("evidence_text"), -F.col("ord"))).alias("best")).select("best.*")
 
 
-def judged_sample(triples: DataFrame, reference: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
-    """Diseases of both tables with their medians, their longest evidence and whether the medians lie within the reference; half of each kind.
+def judged_sample(triples: DataFrame, reference: DataFrame, n: int | None = 100, seed: int = 42) -> DataFrame:
+    """Diseases of both tables with their medians, their longest evidence and whether the medians lie within the reference; half of each kind, or all without n.
 
     triples is (disease_id, onset_min, onset_max, evidence_text, ord), reference (disease_id, ref_min, ref_max). References
     for all ages, ages over 120 and evidence under 20 letters don't count. Which are taken is decided by hash.
@@ -86,6 +86,8 @@ def judged_sample(triples: DataFrame, reference: DataFrame, n: int = 100, seed:
     own = usable.groupBy("disease_id").agg(F.median("onset_min").alias("median_min"), F.median("onset_max").alias("median_max"), F.max_by("evidence_text", F.struct(F.length("evidence_text"), -F.col("ord"))).alias("evidence_text"), F.count("*").alias("n_triples"))
     gold = reference.filter(~ages.all_ages(F.col("ref_min"), F.col("ref_max")))
     met = own.join(gold, "disease_id").withColumn("contained", ages.contained(F.col("median_min"), F.col("median_max"), F.col("ref_min"), F.col("ref_max")))
+    if n is None:
+        return met
     rank = F.row_number().over(Window.partitionBy("contained").orderBy(F.xxhash64("disease_id", F.lit(seed)), "disease_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= n // 2).drop("rank")
 

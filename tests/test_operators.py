@@ -595,3 +595,15 @@ def test_edge_json_is_compressed(spark):
 
     files_of = scans.QUERIES["q_edge_json"](spark, "/root/testdata/sf0.001").inputFiles()
     assert files_of and all(f.endswith(".gz") for f in files_of)
+
+
+def test_judged_sample_without_a_limit(spark):
+    """The query's SQL has no limit, so the query ranks nothing and keeps every disease, however many there are."""
+    from kairoscope.queries import QUERIES
+
+    triples = spark.range(9).select("id", F.lit(3.0).alias("onset_min"), F.lit(4.0).alias("onset_max"), F.lit("evidence of this and that").alias("evidence_text"), F.col("id").alias("ord")).withColumnRenamed("id", "disease_id")
+    ref = spark.range(9).select(F.col("id").alias("disease_id"), F.lit(1.0).alias("ref_min"), F.lit(9.0).alias("ref_max"))
+    assert studies.judged_sample(triples, ref, n=4).count() == 2
+    assert {r["disease_id"] for r in studies.judged_sample(triples, ref, n=None).collect()} == set(range(9))
+    plan = QUERIES["q_judged_sample"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "rank" not in plan
