@@ -19,6 +19,14 @@ FEW = 16
 
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, with the bits of one integer as a row of the table."""
+    least, begin, end = min(len(a), len(b)), 0, 0
+    while begin < least and a[begin] == b[begin]:
+        begin += 1
+    while end < least - begin and a[-1 - end] == b[-1 - end]:
+        end += 1
+    if begin + end == least:
+        return least
+    a, b = a[begin : len(a) - end], b[begin : len(b) - end]
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
@@ -27,7 +35,7 @@ def common_subsequence(a: str, b: str) -> int:
     for c in b:
         hit = row & where.get(c, 0)
         row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    return begin + end + len(a) - row.bit_count()
 
 
 def similarity(a: str | None, b: str | None) -> float:

@@ -76,16 +76,18 @@ def worded(rows: DataFrame, part: Column, way: Column) -> DataFrame:
 
 
 def fuzzy_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    li = worded(t.table(spark, sf, "lineitem"), F.col("l_partkey"), F.col("l_linenumber"))
+    li = t.table(spark, sf, "lineitem").repartition("l_partkey")  # dealt out before rows grow names
+    li = worded(li, F.col("l_partkey"), F.col("l_linenumber"))
     triples = li.select(F.col("s").alias("subject"), t.relation(F.col("l_returnflag")).alias("relation"), F.col("o").alias("object"), F.col("l_suppkey").cast("string").alias("extraction_model"), F.col("l_discount").alias("confidence"), F.col("l_partkey").alias("source_id"), t.ord_().alias("ord"), t.place().alias("place"))
     return consensus.consensus(triples, "source_id", first="place").select("source_id", "relation", "ord", "n_models", F.round("confidence", 6).alias("confidence"))
 
 
 def merge(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("evidence")
-    named = worded(t.table(spark, sf, "lineitem"), F.col("l_partkey"), F.col("l_linenumber")).select(t.ord_().alias("ord"), "s", "o").dropDuplicates(["ord"])
-    edges = t.edges(spark, sf).join(named, "ord").withColumns({"source_name": F.col("s"), "target_name": F.col("o")}).drop("s", "o")
-    out = consensus.merge_sources(edges, "disease_profile_id")
+    li = t.table(spark, sf, "lineitem").repartition(F.col("l_partkey").cast("string"))  # dealt out before rows grow names
+    edges = t.as_edges(worded(li, F.col("l_partkey"), F.col("l_linenumber")), t.ord_, "s", "o", t.place().alias("place"))
+    edges = edges.select("disease_profile_id", "relation", "ord", "place", "evidence", F.col("s").alias("source_name"), F.col("o").alias("target_name"))
+    out = consensus.merge_sources(edges, "disease_profile_id", first="place")
     return out.select("disease_profile_id", "relation", "ord", "n_members", F.size(e["source_ids"]).cast("long").alias("n_sources"), F.array_join(e["extraction_models"], ",").alias("models"), F.round(e["credibility_score"], 6).alias("credibility"), F.round(e["consensus_confidence"], 6).alias("consensus"))
 
 

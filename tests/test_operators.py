@@ -607,3 +607,55 @@ def test_judged_sample_without_a_limit(spark):
     assert {r["disease_id"] for r in studies.judged_sample(triples, ref, n=None).collect()} == set(range(9))
     plan = QUERIES["q_judged_sample"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and "rank" not in plan
+
+
+def test_late_line_items_merge_in_order(spark, late):
+    """Of equally credible edges the first by ORD_SQL stays, also where the number no longer fits a long."""
+    from kairoscope.queries import edges
+
+    lines = spark.read.parquet(f"{late}/lineitem.parquet").withColumns({"l_returnflag": F.lit("R"), "l_linenumber": F.lit(4), "l_discount": F.lit(0.1)})
+    lines.filter("l_orderkey % 2 = 1").write.parquet(f"{late}/merge/lineitem.parquet")
+    found = [r["ord"] for r in edges.merge(spark, f"{late}/merge").collect()]
+    assert found == [(((1_808_503 * 10 + 4) * 1_000_000 + 1) * 10_000 + 2) * 51 + 3]
+
+
+def claims(spark):
+    rng = random.Random(4)
+    names, others = ["alpha beta", "beta alpha", "alpha betta", "gamma delta", ""], ["x one", "x onee", "other"]
+    rows = [(rng.choice(names), "disease", rng.choice(["treats", "causes"]), rng.choice(others), "phenotype", None, None, [str(rng.randrange(5))], 0.1 * (i % 5)) for i in range(60)]
+    return edge_rows(spark, rows)
+
+
+@pytest.mark.parametrize("query", ["q_cross_source_merge", "q_consensus"])
+def test_small_groups_write_no_pairs(spark, monkeypatch, query):
+    """Groups of a few rows are settled in the task that holds them, without tables of pairs and of components."""
+    from kairoscope.queries import QUERIES
+
+    def refuse(*_, **__):
+        raise AssertionError("pairs of small groups")
+
+    for name in ("linked_within", "components"):
+        monkeypatch.setattr(consensus, name, refuse)
+    out = QUERIES[query](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "ENSURE_REQUIREMENTS" not in plan and out.count() > 1000
+
+
+def test_merge_of_small_and_large_groups(spark):
+    """Groups beyond `size` are compared in blocks, with the same rows; with one source each and with several."""
+    pick = lambda df: sorted(map(str, df.select("ord", "n_members", "evidence").collect()))
+    one = claims(spark)
+    several = one.withColumn("evidence", F.col("evidence").withField("source_ids", F.when(F.col("ord") % 3 == 0, F.array(F.lit("3"), F.lit("9"))).otherwise(F.col("evidence.source_ids"))))
+    for edges in (one, several):
+        found = pick(consensus.merge_sources(edges, "disease_profile_id"))
+        assert found == pick(consensus.merge_sources(edges, "disease_profile_id", size=3)) and len(found) > 5
+
+
+def test_consensus_of_small_and_large_groups(spark):
+    rows = claims(spark).select(F.col("source_name").alias("subject"), "relation", F.col("target_name").alias("object"), F.col("evidence.source_ids")[0].alias("extraction_model"), F.col("evidence.credibility_score").alias("confidence"), (F.col("ord") % 2).alias("source_id"), "ord")
+    rows = rows.withColumn("extraction_model", F.when(F.col("ord") % 7 > 0, F.col("extraction_model")))
+    pick = lambda df: sorted(map(str, df.collect()))
+    for least in (1, 2):
+        found = pick(consensus.consensus(rows, "source_id", least=least))
+        assert found == pick(consensus.consensus(rows, "source_id", least=least, size=3)) and len(found) > 5
+    assert pick(consensus.consensus(rows)) == pick(consensus.consensus(rows, size=3))
