@@ -528,6 +528,20 @@ def test_line_dedup_large_bucket_of_many_clusters(spark, monkeypatch):
     assert {(r["node"], r["root"]) for r in line_dedup.linked(found, spark.createDataFrame(rows, "k long, line string")).collect()} == {(5000 - i, 1000 + i) for i in range(120)}
 
 
+def test_line_dedup_links_components_once(spark, monkeypatch):
+    """The rest of a large bucket gives a link for two components, not one for each of their pairs that are alike or near."""
+    monkeypatch.setattr(line_dedup, "TILE", 40)
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(300))
+    rows = [(1000 + i, base[:p] + "z" + base[p + 1 :]) for i, p in enumerate(rng.sample(range(300), 150))] + [(9000 + i, f"{i} other text {'ab' * i}" * 4) for i in range(20)]
+    held = spark.createDataFrame([(9, k, k if k >= 9000 else 1000 + (k % 3), len(rows)) for k, _ in rows], "key long, k long, root long, n long")
+    found = [(r["a"], r["b"]) for r in line_dedup.across(held, spark.createDataFrame(rows, "k long, line string")).collect()]
+    assert sorted(x for x in found if x[1] < 9000) == [(1000, 1001), (1000, 1002), (1001, 1002)]
+    sets = {k: {t[i : i + 5] for i in range(len(t) - 4)} for k, t in rows}
+    others = {(a, b) for a in range(9000, 9020) for b in range(a + 1, 9020) if len(sets[a] & sets[b]) >= line_dedup.LEAST * len(sets[a] | sets[b])}
+    assert {x for x in found if x[1] >= 9000} == others
+
+
 def test_line_dedup_bands_find_similar_pairs():
     """At a similarity of 0.8 each minimum agrees with probability 0.8; 0.99 of such pairs share a band."""
     agree = np.random.default_rng(1).random((100_000, line_dedup.BINS)) < 0.8
