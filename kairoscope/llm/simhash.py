@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairoscope.llm.common import stored, text_hash, unused
+from kairoscope.llm.common import scratch, stored, text_hash, unused
 from kairoscope.operators.components import components
 
 RADIUS = 3
@@ -135,11 +135,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that share that doc_id are told apart by their texts' hashes, of which the smallest stays; of equal rows one, by the
     hash of all columns.
     """
-    found = near_duplicates(docs)
-    counted = found.groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))  # first: equal rows combine before they meet
-    best = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "n")).alias("best"))
     h, n, own = unused("simhash_h", docs.columns), unused("simhash_n", docs.columns), unused("simhash_id", docs.columns)
-    kept = stored(best.select(F.col("best.doc_id").alias(own), F.col("best.h").alias(f"{h}_"), F.col("best.n").alias(n)), "kept")
+    with scratch():
+        found = near_duplicates(docs)
+        counted = found.groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))  # first: equal rows combine before they meet
+        best = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "n")).alias("best"))
+        kept = stored(best.select(F.col("best.doc_id").alias(own), F.col("best.h").alias(f"{h}_"), F.col("best.n").alias(n)), "kept", keep=True)
     hashed = docs.withColumn(h, text_hash(F.col("text")))
     met = hashed.join(kept, F.col(h).eqNullSafe(F.col(f"{h}_")) & hashed["doc_id"].cast("long").eqNullSafe(F.col(own)))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

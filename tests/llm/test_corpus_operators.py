@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from kairoscope.llm import language_id, license_scan, line_dedup, lm_scoring, mixing, packing, quality, queries, simhash, topk, warc
 from kairoscope.operators.components import components
+from kairoscope.storage import CLEANUP, scratch, shared_dir, stored
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, h string, k string, counts string, place string, copies int, root string, piece string, c string"
 LONG = " ".join(f"word{i % 977} the of" for i in range(40_000)) + "\n" + "x" * 50_000
@@ -633,6 +636,46 @@ def test_line_dedup_sketches_keep_similar_pairs():
     assert line_dedup.near(left, other).mean() < 0.6
 
 
+def tables_of(spark) -> set[str]:
+    return {x.name for x in Path(shared_dir(spark).removeprefix("file:")).iterdir()}
+
+
+def shuffles(spark) -> int:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_line_dedup_and_keep_one_leave_one_table(documents, spark):
+    for run, name in ((line_dedup.dedup_lines, "dropped"), (simhash.keep_one, "kept")):
+        shared_dir(spark)
+        before = tables_of(spark)
+        found = run(documents)
+        assert {x.rpartition("-")[0] for x in tables_of(spark) - before} == {name} and len(tables_of(spark) - before) == 1
+        assert found.count() > 0  # it reads nothing that is gone
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    held = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    before, was = shuffles(spark), spark.conf.get(CLEANUP, None)
+    assert len(stored(held, "held").collect()) == 10 and spark.conf.get(CLEANUP, None) == was
+    for _ in range(50):  # files go in the background
+        if shuffles(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles(spark) <= before
+
+
+def test_scratch_keeps_what_it_is_told_to(spark):
+    rows, before = spark.range(3), tables_of(spark)
+    with scratch():
+        with scratch():
+            stored(rows, "inner")
+            kept = stored(rows, "kept", keep=True)
+        assert kept.count() == 3 and {x.rpartition("-")[0] for x in tables_of(spark) - before} == {"kept"}
+        last = stored(kept, "last", keep=True)
+    assert last.count() == 3 and {x.rpartition("-")[0] for x in tables_of(spark) - before} == {"last"}
+
+
 def test_line_dedup_is_native(documents, spark, monkeypatch):
     """Without any Python on the executors it finds what the brute force finds."""
     monkeypatch.setattr(type(documents), "mapInArrow", None)
