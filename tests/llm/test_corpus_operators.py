@@ -646,7 +646,7 @@ def shuffles(spark) -> int:
 
 
 def test_line_dedup_and_keep_one_leave_one_table(documents, spark):
-    for run, name in ((line_dedup.dedup_lines, "dropped"), (simhash.keep_one, "kept")):
+    for run, name in ((line_dedup.dedup_lines, "dropped"), (line_dedup.decide, "dropped"), (simhash.keep_one, "kept")):
         shared_dir(spark)
         before = tables_of(spark)
         found = run(documents)
