@@ -654,6 +654,12 @@ def test_line_dedup_and_keep_one_leave_one_table(documents, spark):
         assert found.count() > 0  # it reads nothing that is gone
 
 
+def test_line_dedup_tiles_leave_one_table(spark):
+    held, before = spark.createDataFrame([(9, 1, 1, 2), (9, 2, 2, 2)], "key long, k long, root long, n long"), tables_of(spark)
+    found = line_dedup.across(held, spark.createDataFrame([(1, "the same line"), (2, "the same line")], "k long, line string"))
+    assert [tuple(r) for r in found.collect()] == [(1, 2)] and {x.rpartition("-")[0] for x in tables_of(spark) - before} == {"tiles"}
+
+
 def test_stored_leaves_no_shuffle_files(spark):
     held = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
     before, was = shuffles(spark), spark.conf.get(CLEANUP, None)
